@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,14 +65,12 @@ def _rewrite(names: list[str], text: str, counts: tuple[str, str], min_chars: in
             at_text = names.index(text)
             column, drops = batch.column(at_text), batch.column(len(names))
             data, at = utf8(column)
-            breaks = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(data == 10, out=breaks[1:])
-            lines = breaks[at[1:]] - breaks[at[:-1]] + 1
+            lines = np.diff(np.searchsorted(np.flatnonzero(data == 10), at)) + 1
             dropped = np.zeros(len(lines), np.int64)
             some = np.flatnonzero(np.asarray(drops.is_valid()))
             out = column
             if len(some):
-                texts = column.to_pylist()
+                parts, done, sizes = [], 0, np.diff(at)
                 for i in some:
                     gone = {(x["h"], x["g"]) for x in drops[int(i)].as_py()}
                     kept = []
@@ -81,8 +80,12 @@ def _rewrite(names: list[str], text: str, counts: tuple[str, str], min_chars: in
                                 dropped[i] += 1
                                 continue
                         kept.append(line)
-                    texts[i] = b"\n".join(kept).decode()
-                out = pa.array(texts, pa.string())
+                    parts += [data[done : at[i]].tobytes(), b"\n".join(kept)]
+                    done, sizes[i] = at[i + 1], len(parts[-1])
+                parts.append(data[done:].tobytes())
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                whole = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(b"".join(parts))])
+                out = pc.if_else(column.is_valid(), whole, pa.scalar(None, pa.large_string())).cast(column.type)
             columns = [out if k == at_text else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines), pa.array(dropped)], [*names, *counts])
 
