@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspark.llm import line_dedup, quality_rules
+from modspark.llm import line_dedup, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    base = F.filter("secrets", lambda x: x["kind"].isin(*secret_scan.BASE))
+    counts = [F.size(F.expr(f"filter(secrets, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    joined = lambda spans: F.array_join(F.transform(spans, text), ",")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 OP3_SQL = r"""
 with doc as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 line as (select row, doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from doc),
@@ -37,7 +50,7 @@ from kept group by row, doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_line_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op5_packing, op6_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
