@@ -10,6 +10,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = str(8 << 20)
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -32,9 +33,12 @@ def ship(spark: SparkSession) -> None:
     """Hand this package to the executors once for each Spark context.
 
     Python workers import it from the zip that Spark's own file server deals out,
-    so no executor needs a checkout or a folder shared with the driver.
+    so no executor needs a checkout or a folder shared with the driver. Arrow batches get
+    a bound in bytes that keeps what a worker holds small, unless the session has its own.
     """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == "67108864":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if context.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
