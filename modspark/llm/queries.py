@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspark.llm import chat_format, line_dedup, mixing, packing, quality_rules, secret_scan
+from modspark.llm import chat_format, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
     return quality_rules.apply_rules(docs.select("doc_id", "text"), labels.select("doc_id", "quality")).drop("text")
@@ -78,7 +82,7 @@ from kept group by row, doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op5_packing, op6_secret_scan, op7_mixing, op8_chat_format)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_line_dedup, op5_packing, op6_secret_scan, op7_mixing, op8_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

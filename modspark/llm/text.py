@@ -134,7 +134,7 @@ def grams(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, n
     out[long_enough] = total
     for t in np.flatnonzero((count > 0) & (count < size)):
         some = word[first[t] : first[t + 1]]
-        out[at[t]] = np.sum(some * seeds[: len(some)], dtype=np.uint64) + seeds[len(some) - 1] * np.uint64(3)
+        out[at[t]] = (int(np.sum(some * seeds[: len(some)], dtype=np.uint64)) + 3 * int(seeds[len(some) - 1])) & _MASK
     return mix(out), at
 
 
