@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspark.llm import chat_format, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan
+from modspark.llm import chat_format, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, vector_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.cosine_classes(table(spark, sf_dir, "embeddings"))
+
+
 OP8_SQL = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
@@ -82,7 +86,7 @@ from kept group by row, doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_line_dedup, op5_packing, op6_secret_scan, op7_mixing, op8_chat_format)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_line_dedup, op5_packing, op6_secret_scan, op7_mixing, op8_chat_format, op9_vector_join)}
 
 
 def oracle_sql() -> dict[str, str]:
