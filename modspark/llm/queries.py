@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspark.llm import chat_format, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, vector_join
+from modspark.llm import chat_format, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, token_counts, toxicity, vector_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,17 @@ def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.cosine_classes(table(spark, sf_dir, "embeddings"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document before and after three edits: inside, near the first quarter, at the start."""
+    place = lambda share: F.floor(F.coalesce(F.length("text"), F.lit(0)) * share)
+    edit = lambda at, removed, inserted: F.struct(at.alias("at"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
+    edits = F.array(edit(place(0.5), 0, " (as amended) "), edit(place(0.25), 12, ""), edit(place(0.0), 0, "Note: "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    trees = token_counts.build_trees(docs).withColumn("before", F.col("n_tokens"))
+    after = token_counts.apply_edits(trees)
+    return after.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.size("edits").cast("long").alias("n_edits"), "n_reencoded")
+
+
 OP8_SQL = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
@@ -86,7 +102,7 @@ from kept group by row, doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_line_dedup, op5_packing, op6_secret_scan, op7_mixing, op8_chat_format, op9_vector_join)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_line_dedup, op4_toxicity, op5_packing, op6_secret_scan, op7_mixing, op8_chat_format, op9_vector_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
