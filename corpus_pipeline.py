@@ -1,10 +1,14 @@
-"""A training corpus from raw documents, in stages that each use one operator."""
+"""A training corpus from raw documents, in stages that each use one operator.
+
+Every stage but the last returns the columns of `documents`, and works on all that the one
+before has kept; run() writes each stage's rows to the shared folder and reads them again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modspark.llm import line_dedup, quality_rules
+from modspark.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 from modspark.session import materialise
 
 
@@ -19,12 +23,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select(docs.columns)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return ngram_join.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, dealt to its shards; of one in each source, its first words."""
+    return mixing.shard_rows(mixing.mix(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, placed in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_join", near_copies), ("mixing", mix), ("packing", pack)]
+#: Hashes that DuckDB doesn't have decide the verdicts, the mix and the places: no SQL for the whole.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each works on the table that the one before wrote."""
+    """All stages over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
