@@ -50,17 +50,17 @@ def _windows(win: int, step: int, select: str, where: str = "") -> str:
 _SLOPE = "(placed - idx * hit + hit - 3.0 * hit) / 10.0"
 
 
-@query(_windows(5, 2, "read_id, mod_code, idx, win_start, win_end, hit / 5.0::double as win_val"))
+@query(_windows(5, 2, "read_id, mod_code, idx::int as idx, win_start, win_end, hit / 5.0::double as win_val"))
 def window_density(spark, sf_dir):
     return windows.over_calls(A.calls(spark, sf_dir), Windowing(5, 2), KEYS, "density", single=False)
 
 
-@query(_windows(5, 1, f"read_id, mod_code, idx, win_start, win_end, ({_SLOPE})::double as win_val"))
+@query(_windows(5, 1, f"read_id, mod_code, idx::int as idx, win_start, win_end, ({_SLOPE})::double as win_val"))
 def window_gradient(spark, sf_dir):
     return windows.over_calls(A.calls(spark, sf_dir), Windowing(5, 1), KEYS, "gradient", single=False)
 
 
-@query(_windows(10, 10, "read_id, mod_code, idx, win_start, win_end, hit / 10.0::double as win_val", "and hit / 10.0 >= 0.4"))
+@query(_windows(10, 10, "read_id, mod_code, idx::int as idx, win_start, win_end, hit / 10.0::double as win_val", "and hit / 10.0 >= 0.4"))
 def window_density_at_least(spark, sf_dir):
     return windows.over_calls(A.calls(spark, sf_dir), Windowing(10, 10), KEYS, "density", single=False).where(F.col("win_val") >= 0.4)
 
@@ -217,9 +217,9 @@ def modified_positions(spark, sf_dir):
 
 
 @query(
-    f"""with {A.TAGGED.strip()} select read_id, 4 * n as seq_len, rec_no % 61 as mapq, case flag when 0 then 'primary_forward' when 4 then 'unmapped' when 16 then 'primary_reverse' when 256 then 'secondary_forward' else 'supplementary_reverse' end as alignment_type,
+    f"""with {A.TAGGED.strip()} select read_id, (4 * n)::bigint as seq_len, rec_no % 61 as mapq, case flag when 0 then 'primary_forward' when 4 then 'unmapped' when 16 then 'primary_reverse' when 256 then 'secondary_forward' else 'supplementary_reverse' end as alignment_type,
   case when mapped then start end as align_start, case when mapped then stop end as align_end, case when mapped then contig end as contig, case when mapped then rec_no % 3 end as contig_id,
-  base, true as is_strand_plus, mod_code, pos as position, coalesce(ref_pos, -1) as ref_position, qual as mod_quality from called"""
+  base, true as is_strand_plus, mod_code, pos as position, coalesce(ref_pos, -1) as ref_position, qual::bigint as mod_quality from called"""
 )
 def reads_export(spark, sf_dir):
     return read_info.reads_table(decode(A.tagged_reads(spark, sf_dir)))
@@ -287,7 +287,7 @@ query(
 @query(
     f"""with {A.TAGGED.strip()}, one as (select rec_no, any_value(read_id) as read_id, any_value(flag) as flag, any_value(n) as n, any_value(mapped) as mapped,
   'T:' || count(*) filter (where mod_code = 'T' and qual >= 128) || ';76792:' || count(*) filter (where mod_code <> 'T' and qual >= 128) as c from called group by rec_no)
-select read_id, string_agg(case when mapped then 4 * n else 0 end::varchar, ', ' order by rec_no) as align_length, 4 * max(n) as sequence_length_template,
+select read_id, string_agg(case when mapped then 4 * n else 0 end::varchar, ', ' order by rec_no) as align_length, (4 * max(n))::bigint as sequence_length_template,
   string_agg({_KINDS}, ', ' order by rec_no) as alignment_type, string_agg(c, ', ' order by rec_no) as mod_count from one group by read_id"""
 )
 def read_table_show_mods(spark, sf_dir):
