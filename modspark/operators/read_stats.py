@@ -10,6 +10,7 @@ from modspark.operators.alignment import with_alignment
 #: Rows of the result, in order (fixed values).
 COUNTS = ("n_primary_alignments", "n_secondary_alignments", "n_supplementary_alignments", "n_unmapped_reads", "n_reversed_reads")
 LENGTHS = ("mean", "max", "min", "median", "n50")
+KEYS = (*COUNTS, *(f"{of}_{k}" for of in ("align_len", "seq_len") for k in LENGTHS))
 
 
 def length_stats(lengths: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
