@@ -1,9 +1,9 @@
 """Chat formatting by schema fingerprints, with DataFrame operations only.
 
-A fingerprint is the hash of the nested field paths of a layout, sorted, of those paths that
-any declared mapping knows; so unrelated columns don't change it. It selects a mapping, which
-says how the layout becomes canonical turns: an array of (role, text). Frames are matched by
-their schema, when the plan is made; JSON texts are matched row by row.
+A fingerprint is the hash of a layout's nested field paths, sorted: for each declared mapping of
+those paths that it knows, so unrelated fields don't change it. The first mapping that has the
+fingerprint among its own says how the layout becomes canonical turns: an array of (role,
+text). Frames are matched by their schema, when the plan is made; JSON texts row by row.
 
 The template writes a turn as `<|role|>`, a line feed, the text, `</s>` and a line feed. In
 texts and roles `&` and `<` are written `&amp;` and `&lt;` (in roles `|` too, as `&bar;`), so
@@ -47,7 +47,7 @@ class Mapping:
 
     def paths(self) -> list[str]:
         named = [p for role, texts in self.turns for p in texts] + [role for role, _ in self.turns if self.kind != "fields"]
-        return sorted({*named, *(("conv_id", "turn") if self.kind == "rows" else ())})
+        return sorted({*named, *(("turn",) if self.kind == "rows" else ())})
 
 
 MAPPINGS = (
@@ -59,19 +59,23 @@ MAPPINGS = (
     Mapping("prompt_completion", "fields", (("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("question_answer", "fields", (("user", ("question",)), ("assistant", ("answer",)))),
 )
-KNOWN = sorted({p for m in MAPPINGS for p in m.paths()})
 
 
 def fingerprint(paths: list[str]) -> str:
-    return hashlib.sha256("\n".join(sorted({*paths} & {*KNOWN})).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted({*paths})).encode()).hexdigest()
 
 
-#: Fingerprints of all layouts, each with the paths that it has.
-LAYOUTS: dict[str, tuple[Mapping, frozenset[str]]] = {
-    fingerprint(have := [p for p in m.paths() if p not in gone]): (m, frozenset(have)) for m in MAPPINGS for n in range(len(m.optional) + 1) for gone in combinations(m.optional, n)
+#: The fingerprints of each mapping, one for each choice of its optional paths, and the paths that it then has.
+LAYOUTS: dict[tuple[str, str], tuple[Mapping, frozenset[str]]] = {
+    (m.name, fingerprint(have := [p for p in m.paths() if p not in gone])): (m, frozenset(have)) for m in MAPPINGS for n in range(len(m.optional) + 1) for gone in combinations(m.optional, n)
 }
 
 
+def layout_of(paths: list[str]) -> tuple[Mapping, frozenset[str]] | None:
+    marks = ((m.name, fingerprint([p for p in paths if p in m.paths()])) for m in MAPPINGS)
+    return next((LAYOUTS[x] for x in marks if x in LAYOUTS), None)
+
+
 def schema_paths(kind: T.DataType, top: str = "") -> list[str]:
     """The nested field paths of a type; `[]` stands for an array's elements."""
     if isinstance(kind, T.StructType):
@@ -96,7 +100,7 @@ def _turns_of(mapping: Mapping, have: frozenset[str], at) -> Column:
         (role, (text,)) = mapping.turns[0]
         array, role = role.split("[].")
         text = text.split("[].")[1]
-        return F.transform(F.coalesce(at(array), F.array().cast(f"array<struct<{role}: string, {text}: string>>")), lambda x: _turn(_role(x[role]), x[text]))
+        return F.coalesce(F.transform(at(array), lambda x: _turn(_role(x[role]), x[text])).cast(TURNS), F.array().cast(TURNS))
     found = []
     for role, texts in mapping.turns:
         parts = [F.when(at(p).cast("string") != "", at(p).cast("string")) for p in texts if p in have]
@@ -107,7 +111,7 @@ def _turns_of(mapping: Mapping, have: frozenset[str], at) -> Column:
 
 def canonical(df: DataFrame, id: str = "conv_id") -> DataFrame:
     """Rows (id, layout, turns) of a frame in any layout that MAPPINGS declares, chosen by its schema."""
-    layout = LAYOUTS.get(fingerprint(schema_paths(df.schema)))
+    layout = layout_of(schema_paths(df.schema))
     if layout is None:
         return df.select(F.col(id), F.lit(None).cast("string").alias("layout"), F.lit(None).cast(TURNS).alias("turns"))
     mapping, have = layout
@@ -126,18 +130,22 @@ def canonical_json(df: DataFrame, json: str, id: str = "conv_id") -> DataFrame:
     keys = lambda x: F.coalesce(F.json_object_keys(x), none)
     top = F.filter(keys(F.col(json)), lambda k: ~k.isin(*arrays))
     nested = [F.expr(f"transform(coalesce(json_object_keys(get_json_object(`{json}`, '$.{a}[0]')), cast(array() as array<string>)), k -> concat('{a}[].', k))") for a in arrays]
-    paths = F.array_sort(F.array_distinct(F.filter(F.concat(top, *nested), lambda p: p.isin(*KNOWN))))
-    mark = F.sha2(F.array_join(paths, "\n"), 256)
+    rows = df.select(F.col(id), F.col(json), F.array_sort(F.array_distinct(F.concat(top, *nested))).alias("__paths"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for key, (mapping, have) in LAYOUTS.items():
+    for (_, key), (mapping, have) in reversed(LAYOUTS.items()):
         if mapping.kind == "rows":
             continue
+        mark = F.sha2(F.array_join(F.filter("__paths", _among(mapping.paths())), "\n"), 256)
         tops = sorted({p.split("[].")[0] for p in have})
         inner = ", ".join(f"{p.split('[].')[1]}: string" for p in sorted(have) if "[]." in p)
         parsed = F.from_json(F.col(json), ", ".join(f"{t} array<struct<{inner}>>" if mapping.kind == "array" else f"{t} string" for t in tops))
-        layout = F.when(F.col("__mark") == key, F.lit(mapping.name)).otherwise(layout)
-        turns = F.when(F.col("__mark") == key, _turns_of(mapping, have, lambda p, x=parsed: x[p]).cast(TURNS)).otherwise(turns)
-    return df.select(F.col(id), F.col(json), mark.alias("__mark")).select(id, layout.alias("layout"), turns.alias("turns"))
+        layout = F.when(mark == key, F.lit(mapping.name)).otherwise(layout)
+        turns = F.when(mark == key, _turns_of(mapping, have, lambda p, x=parsed: x[p]).cast(TURNS)).otherwise(turns)
+    return rows.select(id, layout.alias("layout"), turns.alias("turns"))
+
+
+def _among(names: list[str]):
+    return lambda p: p.isin(*names)
 
 
 def escaped(text: Column) -> Column:
