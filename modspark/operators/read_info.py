@@ -93,7 +93,7 @@ def problems() -> Column:
     falls = lambda data: F.exists(F.sequence(F.lit(1), F.greatest(F.size(data), F.lit(1))), lambda k: F.coalesce(F.get(F.get(data, k - 1), F.lit(0)) >= F.get(F.get(data, k), F.lit(0)), F.lit(False)))
     keys = F.transform("mod_table", lambda t: F.struct(t["is_strand_plus"], t["mod_code"]))
     unmapped = F.col("alignment_type") == "unmapped"
-    outside = lambda c: (c[1] != -1) & (unmapped | (c[1] < start) | (c[1] >= end))
+    outside = lambda c: (F.get(c, F.lit(1)) != -1) & (unmapped | (F.get(c, F.lit(1)) < start) | (F.get(c, F.lit(1)) >= end))
     rules = {
         "not a read state": ~F.col("alignment_type").isin(*FLAGS) | F.col("alignment_type").isNull(),
         "an unmapped read with an alignment": unmapped & F.col("alignment").isNotNull(),
@@ -102,9 +102,9 @@ def problems() -> Column:
         "a sequence of length 0": F.coalesce(F.col("seq_len") <= 0, F.lit(True)),
         "a call that isn't three numbers": F.exists(calls, lambda c: F.size(c) != 3),
         "positions that don't rise": F.exists("mod_table", lambda t: falls(t["data"])),
-        "a position outside the sequence": F.exists(calls, lambda c: (c[0] < 0) | (c[0] >= F.col("seq_len"))),
+        "a position outside the sequence": F.exists(calls, lambda c: (F.get(c, F.lit(0)) < 0) | (F.get(c, F.lit(0)) >= F.col("seq_len"))),
         "a reference position outside the alignment": F.exists(calls, outside),
-        "a probability out of range": F.exists(calls, lambda c: ~c[2].between(0, 255)),
+        "a probability out of range": F.exists(calls, lambda c: ~F.get(c, F.lit(2)).between(0, 255)),
         "a modification twice on a strand": F.size(F.array_distinct(keys)) < F.size(keys),
     }
     return F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items())), lambda x: x.isNotNull())
@@ -123,7 +123,7 @@ def from_json(json: DataFrame, column: str = "json", mode: str = "strict") -> Da
     if mode == "strict":
         stop = F.raise_error(F.concat(F.lit("read "), F.coalesce("read_id", F.lit("?")), F.lit(": "), F.array_join("problems", ", ")))
         found = found.withColumn("read_id", F.when(F.size("problems") > 0, stop.cast("string")).otherwise(F.col("read_id")))
-    calls = lambda data: F.transform(data, lambda c: F.struct(c[0].alias("pos"), F.when(c[1] >= 0, c[1]).alias("ref_pos"), c[2].cast("short").alias("qual")))
+    calls = lambda data: F.transform(data, lambda c: F.struct(F.get(c, F.lit(0)).alias("pos"), F.when(F.get(c, F.lit(1)) >= 0, F.get(c, F.lit(1))).alias("ref_pos"), F.get(c, F.lit(2)).cast("short").alias("qual")))
     track = lambda t: F.struct(t["base"].alias("base"), F.when(t["is_strand_plus"], F.lit("+")).otherwise(F.lit("-")).alias("strand"), t["mod_code"].alias("mod_code"), code_point_column(t["mod_code"]).alias("mod_cp"), calls(t["data"]).alias("calls"))
     order = lambda t: F.struct(t["base"], t["strand"] == "-", t["mod_cp"], t.alias("t"))
     tracks = F.transform(F.array_sort(F.transform(F.transform("mod_table", track), order)), lambda s: s.getField("t"))

@@ -161,7 +161,7 @@ class Threshold:
     def keeps(self, q):
         """For a number or a numpy array."""
         good = q >= self.least
-        return good if self.reject is None else good & ~((q >= self.reject[0]) & (q <= self.reject[1]))
+        return good if self.reject is None else good & ((q < self.reject[0]) | (q > self.reject[1]))
 
     def promoted(self) -> Threshold:
         """Counts of modifications take those that are likelier than not."""

@@ -45,21 +45,24 @@ def _one_of(a: Column, b: Column, names: str) -> Column:
 def from_lines(lines: DataFrame, contigs: DataFrame) -> DataFrame:
     """Alignments from rows (rec_no, value) of SAM lines; also for streams, which bring lines of their own."""
     f = F.split("value", "\t")
+    data = ~F.startswith("value", F.lit("@")) & (F.col("value") != "")
+    at = lambda k: F.get(f, F.lit(k))
+    number = lambda k, kind: F.when(data, at(k).cast(kind))  # noqa: E731  conditions may be tried on header lines too
     star = lambda c: F.when(c != "*", c)
     mm = _one_of(_tag(f, "MM"), _tag(f, "Mm"), "MM and Mm")
     ml = _one_of(_tag(f, "ML"), _tag(f, "Ml"), "ML and Ml")
     mm_text = F.when(mm.isNull() | F.startswith(mm, F.lit("Z:")), F.substring(mm, 3, 1 << 30)).otherwise(F.raise_error(F.lit("an MM tag isn't of type Z")))
     numbers = F.filter(F.split(F.substring(ml, 4, 1 << 30), ","), lambda x: x != "")
-    rows = lines.where(~F.startswith("value", F.lit("@")) & (F.col("value") != "")).select(
+    rows = lines.where(data).select(
         "rec_no",
-        f[0].alias("read_id"),
-        f[1].cast("int").alias("flag"),
-        star(f[2]).alias("contig"),
-        (f[3].cast("int") - 1).alias("pos"),
-        f[4].cast("short").alias("mapq"),
-        star(f[5]).alias("cigar"),
-        F.coalesce(star(f[9]), F.lit("")).alias("seq"),
-        F.when((f[10] != "*") | (f[9] == "*"), f[10]).alias("qual"),
+        at(0).alias("read_id"),
+        number(1, "int").alias("flag"),
+        star(at(2)).alias("contig"),
+        (number(3, "int") - 1).alias("pos"),
+        number(4, "short").alias("mapq"),
+        star(at(5)).alias("cigar"),
+        F.coalesce(star(at(9)), F.lit("")).alias("seq"),
+        F.when((at(10) != "*") | (at(9) == "*"), at(10)).alias("qual"),
         mm_text.alias("mm"),
         F.when(F.startswith(ml, F.lit("B:C")), numbers.cast("array<short>")).when(ml.isNotNull(), F.array().cast("array<short>")).alias("ml"),
     )
