@@ -5,8 +5,8 @@ Targets: sources by code point, null last, take their weights in turn; together
 goes to the others by weight until none is above: the level that does this is found by one
 window over the sources, ordered by cap over weight.
 
-Draw: a hash deals each source's documents into `BLOCKS` blocks and another puts the blocks
-in a permuted order. A source takes whole passes over its blocks, then blocks in that order
+Draw: a hash deals each source's documents into blocks, one for `ROWS` rows of the table and
+`BLOCKS` at least, and another puts the blocks in a permuted order. A source takes whole passes over its blocks, then blocks in that order
 up to its target; the last one is taken in part, document by document, and so is one
 document. Thus every source meets its target to the word, and no document goes over the cap.
 
@@ -16,8 +16,9 @@ many blocks of each source go left, so that the quotas of all shards add up. The
 shards in permuted order, disjoint ones, and a hash orders the rows inside a shard. All draws
 are functions of hashes and a seed: reruns agree.
 
-A hot source is spread over its blocks; windows run inside a block, over the blocks of a
-source, or over the sources, never over the documents of a source.
+There is a shard for `SHARD` words of the mix. A hot source is spread over its blocks; windows
+run inside a block, over the blocks of a source, or over the sources, never over the documents
+of a source. All sizes grow with the table, so that no task does.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a
 source of its own; rows that repeat count each; null ids are dealt by their sizes; an empty
@@ -27,11 +28,17 @@ are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modspark.session import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 256
+ROWS = 1024
+SHARD = 8_000_000
 #: What is known of a row's source, what the mix takes of the row, and where each taking goes.
 FIELDS = ("size", "source_size", "target", "taken", "draws")
 
@@ -93,46 +100,57 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
             acc -> acc.got)"""
         nodes = nodes.select("shard", "counts", "numbers", F.expr(drawn).alias("left"))
         right = F.expr("transform(counts, (c, i) -> c - left[i])")
+        if level == 7:  # as many nodes as tasks are worth while
+            nodes = nodes.repartition("shard")
         nodes = nodes.select("numbers", F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("counts")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("counts")))).alias("s")).select("s.shard", "s.counts", "numbers")
     return nodes.select("shard", F.explode(F.arrays_zip("numbers", "counts")).alias("z")).select(F.col("z.numbers").alias("number"), "shard", F.col("z.counts").alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, levels: int = 5, seed: int = 7, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, levels: int | None = None, seed: int = 7, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of docs with size, source_size, target, taken (words, repeats counted) and draws.
 
     draws: array of (shard, place, words), one for each time that the mix takes the row: the
     output shard of 2**levels, the order inside it, and how many of its words, which is all of
-    them but for one document of each source.
+    them but for one document of each source. levels: by default as many as the mix needs.
     """
     rows = docs.drop(*FIELDS)
     key = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(source).cast("string")))
+    count = max(BLOCKS, 1 << max(0, docs.count() // ROWS - 1).bit_length())
     sized = rows.withColumns({"size": word_count(text), "__key": key})
-    sized = sized.withColumns({"__block": F.pmod(F.xxhash64(F.col(id), "size", F.lit(seed)), F.lit(BLOCKS)).cast("int"), "__place": F.xxhash64(F.col(id), F.lit(seed + 1))})
+    sized = sized.withColumns({"__block": F.pmod(F.xxhash64(F.col(id), "size", F.lit(seed)), F.lit(count)).cast("long"), "__place": F.xxhash64(F.col(id), F.lit(seed + 1))})
 
-    blocks = sized.groupBy(F.col("__key").alias("key"), F.col("__block").alias("block")).agg(F.sum("size").alias("words"))
+    blocks = materialise(sized.groupBy(F.col("__key").alias("key"), F.col("__block").alias("block")).agg(F.sum("size").alias("words")))
+    if levels is None:
+        total = blocks.agg(F.sum("words")).first()[0] or 0
+        levels = max(1, math.ceil(math.log2(max(1.0, share * total / SHARD))))
     goals = targets(blocks.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, cap)
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
     goals = goals.withColumn("passes", passes).withColumn("rest", goal - F.col("passes") * F.col("source_size"))
-    permuted = Window.partitionBy("key").orderBy(F.xxhash64("key", "block", F.lit(seed + 2)), "block")
+    permuted = Window.partitionBy("key").orderBy(F.col("words") == 0, F.xxhash64("key", "block", F.lit(seed + 2)), "block")
     before = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.join(goals, "key").withColumns({"nth": F.row_number().over(permuted).cast("long"), "blocks": F.count("*").over(Window.partitionBy("key"))})
     blocks = blocks.withColumn("extra", F.least("words", F.greatest(F.lit(0), F.col("rest") - before)).cast("long"))
 
+    # Every taking of a block has an ordinal in its source; shards get runs of ordinals by their quotas.
+    last = F.when(F.col("extra") > 0, F.col("passes")).otherwise(F.col("passes") - 1)
+    takings = blocks.where(last >= 0).select("number", "key", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pass"), "blocks", "nth")
+    takings = takings.select("number", "key", "block", "pass", (F.col("pass") * F.col("blocks") + F.col("nth") - 1).alias("ordinal"))
     quotas = blocks.groupBy("number").agg(F.sum(F.col("passes") + (F.col("extra") > 0).cast("long")).alias("quota"))
-    ends = F.expr("transform(q, (x, i) -> aggregate(slice(q, 1, i + 1), 0L, (s, y) -> s + y.quota))")
-    shards = splitting_tree(quotas, levels, seed).groupBy("number").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("q")).select("number", ends.alias("ends"))
-    shard = "size(filter(ends, e -> e <= p * blocks + nth - 1))"
-    takes = F.expr(f"transform(sequence(0L, passes), p -> named_struct('pass', p, 'shard', {shard}))")
-    dealt = blocks.join(shards, "number").select(F.col("key").alias("__key"), F.col("block").alias("__block"), "source_size", "target", F.col("passes").alias("__passes"), F.col("extra").alias("__extra"), takes.alias("__takes"))
+    ends = F.sum("quota").over(Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = splitting_tree(quotas, levels, seed).withColumn("end", ends).where("quota > 0")
+    placed = runs.select("number", "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("ordinal"))
+    takes = takings.join(placed, ["number", "ordinal"]).groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("__takes"))
+    dealt = blocks.join(takes, ["key", "block"], "left").select(F.col("key").alias("__key"), F.col("block").alias("__block"), "source_size", "target", F.col("passes").alias("__passes"), F.col("extra").alias("__extra"), "__takes")
 
     inside = Window.partitionBy("__key", "__block").orderBy("__place", id, "size")
     earlier = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sized.withColumn("__earlier", earlier).join(dealt, ["__key", "__block"])
+    found = sized.withColumn("__earlier", earlier).join(dealt, ["__key", "__block"])
     part = F.least("size", F.greatest(F.lit(0), F.col("__extra") - F.col("__earlier"))).cast("long")
-    placed = placed.withColumn("__part", part)
-    draws = F.expr(f"filter(transform(__takes, t -> named_struct('shard', t.shard, 'place', xxhash64(__place, t.pass, {seed}), 'words', if(t.pass < __passes, size, __part))), d -> d.words > 0)")
-    return placed.select(*rows.columns, "size", "source_size", "target", (F.col("__passes") * F.col("size") + F.col("__part")).alias("taken"), draws.alias("draws"))
+    draw = f"transform(__takes, t -> named_struct('shard', t.shard, 'place', xxhash64(__place, t.pass, {seed}), 'words', if(t.pass < __passes, size, __part)))"
+    draws = F.expr(f"coalesce(filter({draw}, d -> d.words > 0), cast(array() as array<struct<shard: int, place: bigint, words: bigint>>))")
+    found = found.withColumn("__part", part)
+    return found.select(*rows.columns, "size", "source_size", "target", (F.col("__passes") * F.col("size") + F.col("__part")).alias("taken"), draws.alias("draws"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -142,9 +160,9 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), (n + blank).cast("int")), "")
 
 
-def shard_rows(mixed: DataFrame, columns: list[str], levels: int = 5, text: str = "text") -> DataFrame:
-    """The mixed corpus: one row for each draw, dealt by shard and in random order inside it."""
+def shard_rows(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The mixed corpus: one row for each draw, whole shards in a partition, in random order inside each."""
     each = mixed.select(*columns, "size", F.explode("draws").alias("d"))
     cut = F.when(F.col("d.words") < F.col("size"), first_words(F.col(text), F.col("d.words"))).otherwise(F.col(text))
     placed = each.withColumn(text, cut).withColumns({"__shard": F.col("d.shard"), "__order": F.col("d.place")})
-    return placed.repartition(2**levels, "__shard").sortWithinPartitions("__shard", "__order").select(columns)
+    return placed.repartition("__shard").sortWithinPartitions("__shard", "__order").select(columns)
