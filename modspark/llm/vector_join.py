@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modspark.llm.links import Forest, classes
@@ -43,6 +43,8 @@ LEADING = 8
 #: Vectors in a block, of which a task holds two, and in a leaf of the recursion.
 BLOCK = 4096
 LEAF = 128
+#: Vectors of a run, most of them; blocks are made of whole runs.
+RUN = 1024
 #: Slack for rounding in distances, far above it and far below epsilon.
 SLACK = 1e-9
 
@@ -96,31 +98,33 @@ def _project(centre: np.ndarray, turned: np.ndarray, epsilon: float):
     return run
 
 
-def _blocks(size: int):
-    """Sorted rows (rep, copies, raw, cells, place) to blocks with their boxes."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (rep, copies, raw, cells, place) to runs with their boxes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, RUN):
+            rows = batch.slice(at, RUN)
+            place = rows.column(4).flatten().to_numpy().reshape(rows.num_rows, -1)
+            values = [rows.column(0).to_numpy().astype("<i8").tobytes(), rows.column(1).to_numpy().astype("<i8").tobytes(), b"".join(rows.column(2).to_pylist()), place.astype("<f8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows]), pa.array([place.min(0).tolist()]), pa.array([place.max(0).tolist()]), *(pa.array([v], pa.binary()) for v in values)], ["n", "low", "high", "reps", "copies", "raw", "place"])
 
-    def made(rows: pa.Table) -> pa.RecordBatch:
-        place = rows.column("place").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-        raw = b"".join(rows.column("raw").to_pylist())
-        low, high = place.min(0), place.max(0)
-        values = [rows.column("rep").to_numpy().astype("<i8").tobytes(), rows.column("copies").to_numpy().astype("<i8").tobytes(), raw, place.astype("<f8").tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([low.tolist()]), pa.array([high.tolist()]), *(pa.array([v], pa.binary()) for v in values)], ["low", "high", "reps", "copies", "raw", "place"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= size:
-                rows = pa.Table.from_batches(held)
-                while rows.num_rows >= size:
-                    yield made(rows.slice(0, size))
-                    rows = rows.slice(size)
-                held, n = rows.to_batches(), rows.num_rows
-        if n:
-            yield made(pa.Table.from_batches(held))
+def _merge(keys: tuple, runs: pa.Table) -> pa.Table:
+    """The runs of a block, in order, as one row."""
+    runs = runs.sort_by("run")
+    low, high = np.array(runs.column("low").to_pylist()).min(0), np.array(runs.column("high").to_pylist()).max(0)
+    joined = {c: pa.array([b"".join(runs.column(c).to_pylist())], pa.binary()) for c in ("reps", "copies", "raw", "place")}
+    return pa.table({"block": pa.array([keys[0].as_py()], pa.int64()), "low": pa.array([low.tolist()]), "high": pa.array([high.tolist()]), **joined})
 
-    return run
+
+def _blocks(placed: DataFrame, axes: int, size: int) -> DataFrame:
+    """Blocks of about `size` vectors along the sequence of cells, however it is dealt into partitions."""
+    order = [F.col("cells")[k] for k in range(axes)] + [F.col("rep")]
+    count = placed.agg(F.count("*").alias("n")).first()["n"]
+    cut = placed.repartitionByRange(max(1, -(-count // size)), *order).sortWithinPartitions(*order)
+    runs = materialise(cut.mapInArrow(_runs, "n long, low array<double>, high array<double>, reps binary, copies binary, raw binary, place binary").withColumn("run", F.monotonically_increasing_id()))
+    before = F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    numbered = runs.select("run", F.floor(before / size).alias("block"))  # a row for RUN vectors, without them
+    return materialise(runs.join(numbered, "run").groupBy("block").applyInArrow(_merge, "block long, low array<double>, high array<double>, reps binary, copies binary, raw binary, place binary"))
 
 
 class _Side:
@@ -225,10 +229,7 @@ def cosine_classes(vectors: DataFrame, cosine: float = COSINE, block: int = BLOC
     known = groups.select("h", "g", "rep", "copies")
     if width:
         placed = groups.select("rep", "copies", "raw").mapInArrow(_project(centre, turned, epsilon), "rep long, copies long, raw binary, cells array<int>, place array<double>")
-        order = [F.col("cells")[k] for k in range(turned.shape[1])] + [F.col("rep")]
-        count = groups.agg(F.count("*").alias("n")).first()["n"]
-        cut = placed.repartitionByRange(max(1, -(-count // block)), *order).sortWithinPartitions(*order)
-        blocks = materialise(cut.mapInArrow(_blocks(block), "low array<double>, high array<double>, reps binary, copies binary, raw binary, place binary").withColumn("block", F.monotonically_increasing_id()))
+        blocks = _blocks(placed, turned.shape[1], block)
         pairs = materialise(_pairs(blocks, epsilon))
         side = lambda k, key: blocks.select(F.col("block").alias(key), *(F.col(c).alias(f"{c}{k}") for c in ("reps", "copies", "raw", "place")))
         both = pairs.where("x < y").join(side(1, "x"), "x").join(side(2, "y"), "y")
