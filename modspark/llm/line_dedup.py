@@ -101,8 +101,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id: str
     ship(docs.sparkSession)
     lines = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(_keys(min_chars), "h long, g long, doc long")
     often = lines.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h", "g")
-    held = materialise(lines.join(often, ["h", "g"]).distinct())
-    hot = held.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
+    # Tables on both sides of a join let Spark split the partition of a hot line.
+    held = materialise(lines.join(materialise(often), ["h", "g"])).distinct()
+    hot = materialise(held.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs))
     drops = held.join(hot, ["h", "g"]).where("doc <> keeper").groupBy("doc").agg(F.collect_list(F.struct("h", "g")).alias("__drops"))
     rows = docs.drop(*counts)
     with_drops = rows.join(drops.withColumnRenamed("doc", "__doc"), F.col(id) == F.col("__doc"), "left").drop("__doc")
