@@ -34,7 +34,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     folder, and the rounds end when one changes nothing. A round moves each link once, so
     work follows the number of links, not the number of pairs that they connect.
     """
-    edges = materialise(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo and " + f"{a} is not null and {b} is not null" if {a, b} <= {"hi", "lo"} else "hi > lo").distinct())
+    edges = materialise(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct())
     mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x"))
     before = None
     while True:

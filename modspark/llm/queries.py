@@ -76,6 +76,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.size("edits").cast("long").alias("n_edits"), "n_reencoded")
 
 
+_REACH = """
+reach as (select id as node, id as least from nodes union select l.b, r.least from reach r join links l on l.a = r.node),
+classes as (select node, min(least) as class from reach group by node),
+counted as (select a as node, count(*) as n from links group by a)"""
+
+OP1_SQL = f"""
+with recursive words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+runs as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as run from words),
+sizes as (select doc_id, count(*) as n from runs group by doc_id),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as n from runs x join runs y on x.run = y.run and x.doc_id <> y.doc_id group by all),
+links as (select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c.n::double / (x.n + y.n - c.n) >= 0.8),
+nodes as (select distinct doc_id as id from documents),{_REACH}
+select node as doc_id, class as class_id, coalesce(n, 0)::bigint as n_links from classes left join counted using (node)
+"""
+
+OP9_SQL = f"""
+with recursive vectors as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+good as (select * from vectors where len(v) > 0 and list_bool_and(list_transform(v, lambda x: x is not null and isfinite(x))) and list_inner_product(v, v) > 0),
+links as (select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id where list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.95),
+nodes as (select distinct vec_id as id from embeddings),{_REACH}
+select node as vec_id, coalesce(n, 0)::bigint as n_links, class as component_id, node = class as kept from classes left join counted using (node)
+"""
+
 OP8_SQL = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
@@ -106,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op9_vector_join": OP9_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL}
