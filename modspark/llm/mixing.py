@@ -21,7 +21,7 @@ run inside a block, over the blocks of a source, or over the sources, never over
 of a source. All sizes grow with the table, so that no task does.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a
-source of its own; rows that repeat count each; null ids are dealt by their sizes; an empty
+source of its own; rows that repeat count each; null ids are dealt by their texts; an empty
 table gives an empty result; other columns pass through, and columns named like the results
 are replaced.
 """
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     key = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(source).cast("string")))
     count = max(BLOCKS, 1 << max(0, docs.count() // ROWS - 1).bit_length())
     sized = rows.withColumns({"size": word_count(text), "__key": key})
-    sized = sized.withColumns({"__block": F.pmod(F.xxhash64(F.col(id), "size", F.lit(seed)), F.lit(count)).cast("long"), "__place": F.xxhash64(F.col(id), F.lit(seed + 1))})
+    sized = sized.withColumns({"__block": F.pmod(F.xxhash64(F.col(id), F.col(text), F.lit(seed)), F.lit(count)).cast("long"), "__place": F.xxhash64(F.col(id), F.col(text), F.lit(seed + 1))})
 
     blocks = materialise(sized.groupBy(F.col("__key").alias("key"), F.col("__block").alias("block")).agg(F.sum("size").alias("words")))
     if levels is None:
