@@ -55,7 +55,7 @@ def parse_mm(text: str) -> list[Group]:
             code = mod_code(code)
         except ModsparkError as e:
             raise InvalidTag(str(e)) from e
-        found.append(Group(base, strand, code, mode == "?", np.array(numbers.split(",")[1:], np.int64)))
+        found.append(Group(base, strand, code, mode == "?", np.fromstring(numbers[1:], np.int64, sep=",")))
     return found
 
 
@@ -95,7 +95,7 @@ def decode_record(
     seq: str,
     qual: str | None,
     mm: str | None,
-    ml: list[int] | None,
+    ml: np.ndarray | list[int] | None,
     mods: ModFilter,
     wanted: Callable[[str, str, str], bool] | None = None,
     position: Callable[[np.ndarray], np.ndarray] | None = None,
@@ -109,7 +109,8 @@ def decode_record(
     if qual is not None and len(qual) != n:
         raise InvalidTag("as many qualities as bases are needed")
     groups = parse_mm(mm or "")
-    if not groups and not ml:
+    given, used = np.asarray([] if ml is None else ml, np.int64), 0
+    if not groups and not len(given):
         return []
     forward = np.frombuffer((reverse_complement_text(seq) if reverse else seq).upper().encode(), np.uint8)
     good = np.ones(n, bool)
@@ -122,7 +123,6 @@ def decode_record(
         good[max(0, n - mods.trim_read_ends) :] = False
     if position is not None:
         good &= position(np.arange(n))
-    given, used = np.array(ml or [], np.int64), 0
     refs, tracks = None, []
     for g in groups:
         letter = "T" if g.base == "U" else g.base
@@ -188,12 +188,17 @@ def tracks_array(rows: list[list[Track] | None]) -> pa.Array:
 
 
 def _decoder(names: list[str], mods: ModFilter, strict: bool, wanted, position):
-    need = [names.index(x) for x in ("flag", "contig", "pos", "cigar", "seq", "qual", "mm", "ml", "ref_end")]
+    need = [names.index(x) for x in ("flag", "contig", "pos", "cigar", "seq", "qual", "mm", "ref_end")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, errors = [], []
-            for flag, contig, pos, cigar, seq, qual, mm, ml, ref_end in zip(*(batch.column(k).to_pylist() for k in need)):
+            chances = batch.column(names.index("ml"))
+            if chances.null_count:
+                chances = chances.fill_null(pa.scalar([], chances.type))
+            edges, flat = np.asarray(chances.offsets), np.asarray(chances.values)
+            for i, (flag, contig, pos, cigar, seq, qual, mm, ref_end) in enumerate(zip(*(batch.column(k).to_pylist() for k in need))):
+                ml = flat[edges[i] : edges[i + 1]]
                 try:
                     found = decode_record(flag, contig, pos, cigar, seq or "", qual, mm, ml, mods, wanted, position) if seq else []
                     rows.append(limit_to_region(found, mods.region, not flag & 4, contig, pos, ref_end))

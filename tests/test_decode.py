@@ -182,3 +182,29 @@ def test_cigar_arithmetic():
     query, _ = query_over_reference("2S3M1I2M2D1M1S", 10, 10, 13)
     assert query.tolist() == [2, 3, 4]  # the insertion at the end is cut
     assert query_over_reference("3M", 10, 20, 30) is None
+
+
+def test_dense_calls(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from modspark.operators import dense
+
+    df = dense.with_dense_calls(decode(reads(spark, tmp_path, FOUR)))
+    out = df.select("rec_no", "seq_len", "dense", dense.mod_types().alias("t"), dense.mod_calls(3).alias("three"), dense.mod_calls(F.col("seq_len")).alias("outside"), dense.modified_mask().alias("mask"), "tracks").orderBy("rec_no").collect()
+    assert out[0].dense == [[4, 0, 0, 7, 9, 0, 0, 6]] and out[0].three == [7] and out[0].outside is None
+    assert out[0].mask == [True, False, False, True, True, False, False, True]
+    assert out[1].dense == [] and out[1].mask == [False] * 48
+    assert [tuple(t) for t in out[3].t] == [("G", "-", "7200"), ("T", "+", "T")]
+    for r in out:
+        assert all(len(row) == r.seq_len for row in r.dense)
+        assert [sum(x > 0 for x in row) for row in r.dense] == [sum(c.qual > 0 for c in t.calls) for t in r.tracks]
+
+
+def test_calls_in_sql(spark, tmp_path):
+    from modspark.operators import sql
+
+    sql.register(spark)
+    sam.read_sam(spark, write(tmp_path, FOUR)).createOrReplaceTempView("reads_of_sql")
+    out = spark.sql("select rec_no, c.* from reads_of_sql, lateral mm_ml_calls(flag, contig, pos, cigar, seq, qual, mm, ml) c")
+    want = calls(decode(reads(spark, tmp_path, FOUR))).select("rec_no", "track_no", "base", "mod_strand", "mod_code", "pos", "ref_pos", "qual")
+    assert sorted(tuple(map(str, r)) for r in out.collect()) == sorted(tuple(map(str, r)) for r in want.collect())
