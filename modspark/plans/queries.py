@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from modspark.functions import sequence, states, values
 from modspark.functions.values import threshold_column
-from modspark.operators import peek, read_info, read_stats, read_table, record_filters, selection, windows
+from modspark.operators import dense, display, peek, read_info, read_stats, read_table, record_filters, selection, windows
 from modspark.operators.alignment import interval
 from modspark.operators.decode import calls as call_rows
 from modspark.operators.decode import decode
-from modspark.options import ModFilter, ReadFilter, Threshold, Windowing, f32
+from modspark.options import ModFilter, ReadFilter, SeqDisplay, Threshold, Windowing, f32
 from modspark.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,6 +246,27 @@ def find_modified_reads(spark, sf_dir):
     return found.select("read_id").distinct()
 
 
+@query(f"with {A.TAGGED.strip()} select rec_no, base, mod_code, any_value(4 * n)::bigint as n_bases, sum(qual)::bigint as total, count(*) filter (where qual > 0)::bigint as n_modified from called group by rec_no, base, mod_code")
+def dense_calls(spark, sf_dir):
+    """The dense matrix of a read, summed along its rows."""
+    reads = dense.with_dense_calls(decode(A.tagged_reads(spark, sf_dir)))
+    rows = reads.select("rec_no", F.explode(F.arrays_zip(dense.mod_types().alias("t"), F.col("dense").alias("q"))).alias("z"))
+    total = F.aggregate("z.q", F.lit(0).cast("long"), lambda s, q: s + q)
+    return rows.select("rec_no", "z.t.base", "z.t.mod_code", F.size("z.q").cast("long").alias("n_bases"), total.alias("total"), F.size(F.filter("z.q", lambda q: q > 0)).cast("long").alias("n_modified"))
+
+
+@query(
+    """with a as (select o_orderkey as rec_no, o_orderkey % 5 <> 2 and o_orderkey % 3 = 2 as near, (o_orderkey % 32 + 4) * 4 as n, o_orderkey * 37 % 10000 as start from orders),
+b as (select *, greatest(start, 3000) as low, least(start + n, 3060) as high from a)
+select rec_no, case when near and low < high then substr(repeat('ACGT', 40), low - start + 1, high - low) else '*' end as shown_seq,
+  case when near and low < high then array_to_string(list_transform(range(high - low), lambda i: rec_no % 60), '.') else '255' end as shown_qual from b"""
+)
+def region_sequences(spark, sf_dir):
+    """Sequence and qualities over an interval of the reference."""
+    reads = display.with_sequence(A.tagged_reads(spark, sf_dir), SeqDisplay(region=("contig2", 3000, 3060), show_base_qual=True))
+    return reads.select("rec_no", "shown_seq", "shown_qual")
+
+
 # Tables.
 
 _STATES = "case when flag = 4 then 'unmapped' when flag in (0, 16) then 'primary' when flag in (256, 272) then 'secondary' else 'supplementary' end"
