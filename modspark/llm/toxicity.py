@@ -7,10 +7,12 @@ The prior is the toxic share of all labelled training rows.
 
 Features are hashed words, without regard to case and punctuation, and their first 4, 5 and 6
 bytes, as present or not. Those that are surely more frequent in P than in U are kept.
-`MODELS` classifiers start from different shuffles and their scores are averaged.
+`MODELS` classifiers start from different shuffles and their scores are averaged. Where an
+average counts as toxic is chosen by the same risk with the 0-1 loss, and scores are shifted so
+that this place is 0.5.
 
-Limits: P has at most `POSITIVE` documents and U at most `UNLABELLED`, chosen by the hash of
-their ids; that bounds what the driver holds and the model that is broadcast. Scores cover all
+Limits: P has at most `POSITIVE` documents and U at most `UNLABELLED`, and each at most `CHARS`
+code points, taken in the order of the hash of their ids; that bounds what the driver holds and the model that is broadcast. Scores cover all
 rows, and see nothing but the text.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; rows that
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modspark.llm.text import LOWER, PARTS, hashes, mix, sorted_sets, steps, utf8, words
@@ -32,6 +34,7 @@ from modspark.session import ship
 
 POSITIVE = 4000
 UNLABELLED = 8000
+CHARS = 40_000_000
 SELECTED = 4096
 LIFT = 3.0
 MODELS = 3
@@ -69,9 +72,12 @@ class Sets:
     @classmethod
     def of(cls, texts: list[str]) -> Sets:
         data, at = utf8(pa.array(texts, pa.string()))
-        parts = [features(d, a) for _, _, d, a in steps(data, at)]
-        sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(a) for _, a in parts)])
-        return cls(np.concatenate([np.zeros(0, np.uint64), *(f for f, _ in parts)]).astype(np.int64), np.cumsum(sizes))
+        flats, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for _, _, d, a in steps(data, at):
+            flat, first = features(d, a)
+            flats.append(flat.astype(np.int32))
+            sizes.append(np.diff(first))
+        return cls(np.concatenate(flats), np.cumsum(np.concatenate(sizes)))
 
     def only(self, chosen: np.ndarray) -> Sets:
         """With numbers in place of the chosen features, the others left out."""
@@ -138,26 +144,41 @@ def train(p: Sets, u: Sets, prior: float, n: int, seed: int, epochs: int = EPOCH
     return w[:n], float(w[n])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chosen features, a row of weights for each model, and their biases."""
+def cut(p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """The place among scores of P and U at which the non-negative risk of errors is least, the highest such place."""
+    places = np.unique(np.concatenate((p, u)))
+    missed = np.searchsorted(np.sort(p), places) / len(p)
+    above = 1 - np.searchsorted(np.sort(u), places) / len(u)
+    risk = prior * missed + np.maximum(0, above - prior * (1 - missed))
+    k = int(np.flatnonzero(risk <= risk.min() + 1e-12)[-1])
+    return float(np.clip((places[k] + places[max(k - 1, 0)]) / 2, 1e-6, 1 - 1e-6))
+
+
+def averaged(sets: Sets, weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    return np.mean([sigmoid(sets.times(w) + b) for w, b in zip(weights, biases)], axis=0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The chosen features, a row of weights for each model, their biases, and where to cut."""
     ids = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rate = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     by_hash = lambda rows, n: rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = by_hash(known.where("toxic = 1"), POSITIVE).withColumn("positive", F.lit(True)).unionByName(by_hash(ids, UNLABELLED).withColumn("positive", F.lit(False)))
-    rows = ids.join(F.broadcast(chosen), "doc_id").select("positive", "doc_id", "text").collect()  # at most POSITIVE + UNLABELLED documents
-    rows.sort(key=lambda r: (r["positive"], r["doc_id"], r["text"] or ""))
-    p, u = (Sets.of([r["text"] for r in rows if r["positive"] == x]) for x in (True, False))
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("positive").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sample = ids.join(F.broadcast(chosen), "doc_id").withColumn("so_far", so_far).where(F.col("so_far") <= CHARS)
+    p, u = (Sets.of([r["text"] for r in sample.where(F.col("positive") == x).orderBy("doc_id", "text").select("text").toLocalIterator()]) for x in (True, False))
     bias = np.log(np.clip(rate, 1e-6, 1 - 1e-6) / (1 - np.clip(rate, 1e-6, 1 - 1e-6)))
     if not len(p) or not len(u) or not 0 < rate < 1:
-        return np.zeros(0, np.int64), np.zeros((1, 0)), np.array([bias])
+        return np.zeros(0, np.int64), np.zeros((1, 0)), np.array([bias]), 0.5
     chosen_features = select(p, u)
     p, u = p.only(chosen_features), u.only(chosen_features)
     models = [train(p, u, rate, len(chosen_features), seed) for seed in range(MODELS)]
-    return chosen_features, np.array([w for w, _ in models]), np.array([b for _, b in models])
+    weights, biases = np.array([w for w, _ in models]), np.array([b for _, b in models])
+    return chosen_features, weights, biases, cut(averaged(p, weights, biases), averaged(u, weights, biases), rate)
 
 
-def _score(names: list[str], text: str, chosen: np.ndarray, weights: np.ndarray, biases: np.ndarray):
+def _score(names: list[str], text: str, chosen: np.ndarray, weights: np.ndarray, biases: np.ndarray, place: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(names.index(text)))
@@ -165,7 +186,8 @@ def _score(names: list[str], text: str, chosen: np.ndarray, weights: np.ndarray,
             for i, j, d, a in steps(data, at):
                 flat, first = features(d, a)
                 own = Sets(flat.astype(np.int64), first).only(chosen)
-                scores[i:j] = np.mean([sigmoid(own.times(w) + b) for w, b in zip(weights, biases)], axis=0)
+                mean = averaged(own, weights, biases)
+                scores[i:j] = mean * (1 - place) / (mean * (1 - place) + (1 - mean) * place)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     return run
