@@ -13,8 +13,8 @@ Equal vectors make one representative. A task gives out, for each vector, the nu
 links and one vector that it can reach, so what leaves it follows the number of vectors and
 not that of pairs; classes are the connected components.
 
-Defined cases: vectors that are null, empty, zero, of another length than most sampled ones,
-or that hold null or non-finite components link with nothing; rows that repeat a vec_id are
+Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components
+link with nothing; those of another length than most link with their equals alone; rows that repeat a vec_id are
 one row of the result, with the vector that has the least digest; rows with a null vec_id
 have null class and no links and are kept; an empty table gives an empty result; labels and
 other columns are never read.
