@@ -20,6 +20,8 @@ There is a shard for `SHARD` words of the mix. A hot source is spread over its b
 run inside a block, over the blocks of a source, or over the sources, never over the documents
 of a source. All sizes grow with the table, so that no task does.
 
+Sources are few: a node of the tree holds a number for each of them in one row.
+
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a
 source of its own; rows that repeat count each; null ids are dealt by their texts; an empty
 table gives an empty result; other columns pass through, and columns named like the results
