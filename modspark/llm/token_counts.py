@@ -36,6 +36,8 @@ LEAF = 64
 CONTEXT = 4
 #: Different pre-tokens whose counts a worker remembers at most.
 REMEMBERED = 300_000
+#: Rows whose trees are held at once.
+SLICE = 64
 
 _PATTERN = regex.compile(PATTERN)
 EDIT = "array<struct<at: long, removed: long, inserted: string>>"
@@ -150,6 +152,13 @@ class TokenTree:
         return new, place - start
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: trees are larger than their texts."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            yield batch.slice(a, SLICE)
+
+
 def _with(batch: pa.RecordBatch, names: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *new.values()], [*names, *new])
 
@@ -157,7 +166,7 @@ def _with(batch: pa.RecordBatch, names: list[str], new: dict[str, pa.Array]) ->
 def _build(names: list[str], text: str, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for batch in batches:
+        for batch in _slices(batches):
             trees = [TokenTree.of(t or "", count) for t in batch.column(names.index(text)).to_pylist()]
             yield _with(batch, names, {"token_tree": pa.array([t.bytes() for t in trees], pa.binary()), "n_tokens": pa.array([t.tokens for t in trees], pa.int64())})
 
@@ -167,7 +176,7 @@ def _build(names: list[str], text: str, path: str):
 def _apply(names: list[str], text: str, edits: str, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for batch in batches:
+        for batch in _slices(batches):
             texts, trees, tokens, again = batch.column(names.index(text)).to_pylist(), batch.column(names.index("token_tree")).to_pylist(), [], []
             for i, wanted in enumerate(batch.column(names.index(edits)).to_pylist()):
                 tree, encoded = TokenTree.read(trees[i]), 0
