@@ -34,9 +34,9 @@ from modspark.session import materialise, ship
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES = 20
+TREES = 24
 LONGEST = 8
-RECALL = 0.9995
+RECALL = 0.9999
 BLOCK = 512
 
 
