@@ -34,7 +34,7 @@ from modspark.session import ship
 
 POSITIVE = 4000
 UNLABELLED = 8000
-CHARS = 40_000_000
+CHARS = 20_000_000
 SELECTED = 4096
 LIFT = 3.0
 MODELS = 3
