@@ -74,6 +74,11 @@ def predicate(options: ReadFilter, seq_len: Column | None = None, ref_span: Colu
     return reduce(Column.__and__, found)
 
 
+def by_ids(alignments: DataFrame, ids: DataFrame) -> DataFrame:
+    """All alignments of the reads in rows (read_id); Spark decides from the size of these how to join."""
+    return alignments.join(ids.select("read_id"), "read_id", "left_semi").select(alignments.columns)
+
+
 def filter_reads(alignments: DataFrame, options: ReadFilter, ids: DataFrame | None = None) -> DataFrame:
     """The alignments that meet all conditions.
 
@@ -90,4 +95,4 @@ def filter_reads(alignments: DataFrame, options: ReadFilter, ids: DataFrame | No
         from modspark.sources.tables import read_ids
 
         ids = read_ids(alignments.sparkSession, options.read_id_list)
-    return out if ids is None else out.join(ids.select("read_id"), "read_id", "left_semi").select(alignments.columns)
+    return out if ids is None else by_ids(out, ids)

@@ -71,6 +71,7 @@ def tagged_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     probability of call k is (31 k + key) mod 256.
     """
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("string").alias("read_id"))
+    o = o.repartition(spark.sparkContext.defaultParallelism)  # two narrow columns of a small file become long reads
     o = o.select("*", (F.col("key") % 32 + 4).cast("int").alias("n"), (F.col("key") % 3).cast("int").alias("d"))
     o = o.withColumn("first", F.expr("(n + d) div (d + 1)").cast("int")).withColumn("second", F.expr("(n + 1) div 2").cast("int"))
     flags = F.array(*(F.lit(x) for x in (0, 16, 4, 256, 2064)))

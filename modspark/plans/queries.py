@@ -124,8 +124,9 @@ for _name, (_options, _where) in {
 
 @query(_SELECT + "seq_len > 0 and read_id in (select cast(c_custkey as varchar) from customer where c_mktsegment = 'BUILDING')")
 def filter_read_id_list(spark, sf_dir):
-    rows = A.flat_alignments(spark, sf_dir).withColumns({"seq": F.repeat(F.lit("A"), "seq_len"), "cigar": F.lit(None).cast("string")})
-    return record_filters.filter_reads(rows, ReadFilter(), A.wanted_ids(spark, sf_dir)).select("rec_no", "read_id")
+    rows = A.flat_alignments(spark, sf_dir)
+    kept = rows.where(record_filters.predicate(ReadFilter(), F.col("seq_len")))
+    return record_filters.by_ids(kept, A.wanted_ids(spark, sf_dir)).select("rec_no", "read_id")
 
 
 @query()
