@@ -6,9 +6,9 @@ goes to the others by weight until none is above: the level that does this is fo
 window over the sources, ordered by cap over weight.
 
 Draw: a hash deals each source's documents into blocks, one for `ROWS` rows of the table and
-`BLOCKS` at least, and another puts the blocks in a permuted order. A source takes whole passes over its blocks, then blocks in that order
-up to its target; the last one is taken in part, document by document, and so is one
-document. Thus every source meets its target to the word, and no document goes over the cap.
+`BLOCKS` at least, and another puts the blocks in a permuted order. A source takes whole passes
+over its blocks, then blocks in that order up to its target; the last one is taken in part,
+document by document, and so is one document. Thus every source meets its target to the word, and no document goes over the cap.
 
 Shards: the blocks that each source gives are an exact quota. A splitting tree halves the
 shards again and again, and at each node draws from a multivariate hypergeometric law how

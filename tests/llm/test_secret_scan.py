@@ -67,7 +67,6 @@ def test_checksums():
 
 
 def test_rows(docs, wide, empty, spark):
-    from modspark.llm.queries import op6_secret_scan  # noqa: F401
 
     odd = spark.createDataFrame([(50, "token = abcdefgh1"), (51, None)], "doc_id long, text string")
     rows = {r.doc_id: r.secrets for r in S.find_secrets(odd).collect()}
