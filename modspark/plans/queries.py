@@ -154,7 +154,7 @@ def read_states(spark, sf_dir):
     " translate(substr(text, 1, 200), 'acgtn', 'ACGTN') as upper_bases from documents"
 )
 def sequence_functions(spark, sf_dir):
-    text = F.substring("text", 1, 200)
+    text = F.col("text")
     return A.table(spark, sf_dir, "documents").select("doc_id", sequence.reverse_complement(text).alias("turned"), sequence.upper_bases(text).alias("upper_bases"))
 
 
