@@ -119,22 +119,60 @@ def header(path: str) -> tuple[list[tuple[str, int]], int]:
         return found, b.offset()
 
 
-def plausible(buffer: bytes, place: int, contigs: int, need: int = 4) -> bool:
-    """Whether `need` records, or all up to the end of the buffer, could begin here."""
-    for _ in range(need):
-        if place + 36 > len(buffer):
+def plausible(buffer: bytes, place: int, contigs: int, last: bool = False, need: int = 4) -> bool | None:
+    """Whether `need` records, or all up to the end of the file, begin here; None if the buffer ends before that is known.
+
+    last: the buffer's end is that of the file.
+    """
+    for k in range(need):
+        if k and last and place == len(buffer):
             return True
+        if place + 36 > len(buffer):
+            return None
         n, tid, pos, name, _, _, cigar, flag, bases, mate, _, _ = struct.unpack_from("<iiiBBHHHiiii", buffer, place)
         fixed = 32 + name + 4 * cigar + (bases + 1) // 2 + bases
         if not (32 < n < LARGEST and -1 <= tid < contigs and -1 <= pos and -1 <= mate < contigs and name > 0 and bases >= 0 and fixed <= n and flag < 1 << 12):
             return False
         text = buffer[place + 36 : place + 36 + name]
-        if len(text) == name and (text[-1] or not all(32 < c < 127 for c in text[:-1])):
+        if len(text) < name:
+            return None
+        if text[-1] or not all(32 < c < 127 for c in text[:-1]):
             return False
         place += 4 + n
     return True
 
 
+def seek_record(b: Blocks, end: int, contigs: int) -> bool:
+    """Go to the first record that begins in a block before `end`; False if none does.
+
+    Blocks are read until that is known, as a record from before may cover any number of them.
+    """
+    place, limit, grown, cut = 0, 0, -1, None
+    while True:
+        if len(b.buffer) != grown:
+            grown = len(b.buffer)
+            limit = next((start for start, block in b.at if block >= end), grown)
+        if place >= limit:
+            if b.next >= end or not b.more():
+                break
+            continue
+        found = plausible(b.buffer, place, contigs)
+        while found is None and b.more():
+            found = plausible(b.buffer, place, contigs)
+        if found is None:
+            found = plausible(b.buffer, place, contigs, last=True)
+            if found is None and cut is None and place + 36 <= len(b.buffer):
+                cut = place
+        if found:
+            b.place = place
+            return True
+        place += 1
+    if cut is None or b.at[-1][0] == len(b.buffer):  # a whole file ends in an empty block
+        return False
+    b.place = cut
+    return True
+
+
 def _aux(raw: bytes) -> tuple[str | None, list[int] | None]:
     """The modification tags: text of MM or Mm, numbers of ML or Ml."""
     width = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
@@ -253,10 +291,8 @@ class BamReader(DataSourceReader):
                 if start is None:
                     return
                 b = Blocks(f, start)
-                while len(b.buffer) < 1 << 18 and b.more():
-                    pass
-                while b.place < len(b.buffer) and not plausible(b.buffer, b.place, len(names)):
-                    b.place += 1
+                if not seek_record(b, split.end >> 16, len(names)):
+                    return
             while True:
                 at = b.offset()
                 if at >= split.end:

@@ -1,13 +1,14 @@
 import gzip
 import io
 import json
+import random
 
 import pytest
 from samples import FOUR, IMPLICIT, write
 
 from modspark import simulate as S
 from modspark.errors import InvalidOption, InvalidRecord
-from modspark.model import ALIGNMENT_COLUMNS
+from modspark.model import ALIGNMENT_COLUMNS, ALIGNMENTS, CONTIGS
 from modspark.operators import windows as W
 from modspark.operators.alignment import with_alignment
 from modspark.operators.decode import decode
@@ -48,6 +49,20 @@ def test_bam_round_trip_in_any_split(spark, simulated):
     assert bam.read_bam(spark, simulated[0], "nowhere").count() == 0
 
 
+def test_long_reads_over_many_splits(spark, tmp_path):
+    draw = random.Random(3)
+    reads = []
+    for k, n in enumerate((50, 1_000_000, 60, 70, 400_000, 80)):
+        seq, qual = "".join(draw.choices("ACGT", k=n)), "".join(map(chr, draw.choices(range(34, 90), k=n)))
+        reads.append((k, f"r{k}", 0, 0, "c", k, 30, f"{n}M", seq, qual, None, None))
+    contigs = spark.createDataFrame([(0, "c", 2_000_000)], CONTIGS)
+    sinks.write_bam(spark.createDataFrame(reads, ALIGNMENTS), contigs, f"{tmp_path}/long.bam", index=False)
+    for split in (70_000, 300_000, 1 << 25):
+        reader = bam.BamReader(f"{tmp_path}/long.bam", split)
+        got = [r[1:] for part in reader.partitions() for r in reader.read(part)]
+        assert got == [r[1:] for r in reads]
+
+
 def test_index_leads_to_fewer_splits(spark, simulated):
     reader = bam.BamReader(simulated[0], 1 << 25)
     from pyspark.sql.datasource import EqualTo
