@@ -1,7 +1,7 @@
 """Embedding near-dedup: an epsilon grid order join.
 
 Cosine >= c means that the unit vectors are at most sqrt(2 - 2c) = epsilon apart. Vectors are
-turned to principal axes, which are fitted to at most `SAMPLE` vectors (the join is exact with
+turned to principal axes, which are fitted to at most `SAMPLE` vectors of a length (the join is exact with
 any axes), and sorted by their cells of width epsilon along the leading ones. The sequence is
 cut into blocks that carry the box of their leading coordinates. A pair of blocks whose boxes
 are more than epsilon apart is skipped: blocks meet by the cells that they cover along the
@@ -14,7 +14,8 @@ links and one vector that it can reach, so what leaves it follows the number of
 not that of pairs; classes are the connected components.
 
 Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components
-link with nothing; those of another length than most link with their equals alone; rows that repeat a vec_id are
+link with nothing; vectors of different lengths don't link, and those of each length are joined by
+themselves, with axes of their own; rows that repeat a vec_id are
 one row of the result, with the vector that has the least digest; rows with a null vec_id
 have null class and no links and are kept; an empty table gives an empty result; labels and
 other columns are never read.
@@ -23,8 +24,8 @@ other columns are never read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,27 +70,19 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(raws, pa.binary()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], ["vec_id", "raw", "h", "g"])
 
 
-def axes(vectors: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
-    """The usual number of components, a centre, and the leading principal axes as columns."""
-    if not vectors:
-        return 0, np.zeros(0), np.zeros((0, 0))
-    width = Counter(map(len, vectors)).most_common(1)[0][0]
-    x = np.array([np.frombuffer(v) for v in vectors if len(v) == width])
+def axes(vectors: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A centre of vectors of one length, and their leading principal axes as columns."""
+    x = np.array([np.frombuffer(v) for v in vectors])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     centre = x.mean(0)
     _, turned = np.linalg.eigh((x - centre).T @ (x - centre))
-    return width // 8, centre, turned[:, ::-1][:, :LEADING]
+    return centre, turned[:, ::-1][:, :LEADING]
 
 
 def _project(centre: np.ndarray, turned: np.ndarray, epsilon: float):
-    width = len(centre) * 8
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = batch.column(2).to_pylist()
-            right = np.array([len(r) == width for r in raws], bool)
-            batch = batch.filter(pa.array(right))
-            x = np.frombuffer(b"".join(r for r in raws if len(r) == width)).reshape(-1, len(centre))
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, len(centre))
             place = (x / np.linalg.norm(x, axis=1, keepdims=True) - centre) @ turned
             cells = np.floor(place / epsilon).astype(np.int32)
             lists = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1]).cast(pa.list_(pa.from_numpy_dtype(a.dtype)))
@@ -216,6 +209,18 @@ def _pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     return own.join(other, "cell").where((F.col("x") <= F.col("y")) & (gap <= (epsilon + SLACK) ** 2)).select("x", "y").distinct()
 
 
+def _links(groups: DataFrame, cosine: float, epsilon: float, block: int) -> DataFrame:
+    """Rows (rep, links, root) of the join of vectors of one length."""
+    centre, turned = axes([bytes(r["raw"]) for r in groups.orderBy(F.xxhash64("rep"), "rep").select("raw").limit(SAMPLE).collect()])
+    placed = groups.select("rep", "copies", "raw").mapInArrow(_project(centre, turned, epsilon), "rep long, copies long, raw binary, cells array<int>, place array<double>")
+    blocks = _blocks(placed, turned.shape[1], block)
+    pairs = materialise(_pairs(blocks, epsilon))
+    side = lambda k, key: blocks.select(F.col("block").alias(key), *(F.col(c).alias(f"{c}{k}") for c in ("reps", "copies", "raw", "place")))
+    both = pairs.where("x < y").join(side(1, "x"), "x").join(side(2, "y"), "y")
+    alone = pairs.where("x = y").join(side(1, "x"), "x").select("*", *(F.lit(None).cast("binary").alias(f"{c}2") for c in ("reps", "copies", "raw", "place")))
+    return materialise(both.unionByName(alone).mapInArrow(_join(cosine, epsilon), "rep long, links long, root long"))
+
+
 def cosine_classes(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each id."""
     spark = vectors.sparkSession
@@ -225,16 +230,10 @@ def cosine_classes(vectors: DataFrame, cosine: float = COSINE, block: int = BLOC
     some = rows.where(F.col("vec_id").isNotNull())
     clean = some.mapInArrow(_clean, "vec_id long, raw binary, h long, g long").groupBy("vec_id").agg(F.min(F.struct("h", "g", "raw")).alias("s")).select("vec_id", "s.*")
     groups = materialise(clean.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
-    width, centre, turned = axes([bytes(r["raw"]) for r in groups.orderBy(F.xxhash64("rep"), "rep").select("raw").limit(SAMPLE).collect()])
     known = groups.select("h", "g", "rep", "copies")
-    if width:
-        placed = groups.select("rep", "copies", "raw").mapInArrow(_project(centre, turned, epsilon), "rep long, copies long, raw binary, cells array<int>, place array<double>")
-        blocks = _blocks(placed, turned.shape[1], block)
-        pairs = materialise(_pairs(blocks, epsilon))
-        side = lambda k, key: blocks.select(F.col("block").alias(key), *(F.col(c).alias(f"{c}{k}") for c in ("reps", "copies", "raw", "place")))
-        both = pairs.where("x < y").join(side(1, "x"), "x").join(side(2, "y"), "y")
-        alone = pairs.where("x = y").join(side(1, "x"), "x").select("*", *(F.lit(None).cast("binary").alias(f"{c}2") for c in ("reps", "copies", "raw", "place")))
-        found = materialise(both.unionByName(alone).mapInArrow(_join(cosine, epsilon), "rep long, links long, root long"))
+    widths = groups.groupBy(F.length("raw").alias("width")).agg(F.count("*").alias("n")).where("n > 1").orderBy("width").collect()
+    if widths:
+        found = reduce(DataFrame.unionByName, (_links(groups.where(F.length("raw") == w["width"]), cosine, epsilon, block) for w in widths))
         known = classes(known, found)
     else:
         known = known.select("*", F.col("rep").alias("class"), (F.col("copies") - 1).alias("links"))

@@ -64,6 +64,16 @@ def test_odd_vectors(spark):
     assert [tuple(r) for r in out.where("vec_id is null").collect()] == [(None, 0, None, True)]
 
 
+def test_every_length_is_joined(spark):
+    rows, want = [], {}
+    for n, (count, width) in enumerate([(200, 16), (120, 12), (40, 3), (1, 5)]):
+        mine = [(1000 * n + k, v, 0) for k, v in enumerate(vectors(count, 10, 0.2, n, width))]
+        rows += mine
+        want |= brute([(r[0], r[1]) for r in mine])
+    assert sum(n for k, (n, _, _) in want.items() if k >= 1000) > 0
+    assert got(V.cosine_classes(spark.createDataFrame(rows, SCHEMA), block=64)) == want
+
+
 def test_pairs_at_the_threshold(spark):
     c = 0.95
     rows = [(1, [1.0, 0.0], 0), (2, [c, (1 - c * c) ** 0.5], 0), (3, [0.949999, -((1 - 0.949999**2) ** 0.5)], 0)]
