@@ -11,9 +11,10 @@ bytes, as present or not. Those that are surely more frequent in P than in U are
 average counts as toxic is chosen by the same risk with the 0-1 loss, and scores are shifted so
 that this place is 0.5.
 
-Limits: P has at most `POSITIVE` documents and U at most `UNLABELLED`, and each at most `CHARS`
-code points, taken in the order of the hash of their ids; that bounds what the driver holds and the model that is broadcast. Scores cover all
-rows, and see nothing but the text.
+Limits: P has at most `POSITIVE` documents and U at most `UNLABELLED`, taken in the order of the hash
+of their ids, with their whole texts, however long. Executors make the texts' feature sets and count
+them; to the driver come at most `SELECTED` features of each document. Scores cover all rows, and
+see nothing but the text.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; rows that
 repeat are scored each; a null doc_id is never learned from and isn't held out; without any
@@ -26,15 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modspark.llm.text import LOWER, PARTS, hashes, mix, sorted_sets, steps, utf8, words
-from modspark.session import ship
+from modspark.session import materialise, ship
 
 POSITIVE = 4000
 UNLABELLED = 8000
-CHARS = 20_000_000
 SELECTED = 4096
 LIFT = 3.0
 MODELS = 3
@@ -70,14 +70,8 @@ class Sets:
         self.flat, self.at = flat, at
 
     @classmethod
-    def of(cls, texts: list[str]) -> Sets:
-        data, at = utf8(pa.array(texts, pa.string()))
-        flats, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for _, _, d, a in steps(data, at):
-            flat, first = features(d, a)
-            flats.append(flat.astype(np.int32))
-            sizes.append(np.diff(first))
-        return cls(np.concatenate(flats), np.cumsum(np.concatenate(sizes)))
+    def of(cls, numbers: list[np.ndarray]) -> Sets:
+        return cls(np.concatenate([np.zeros(0, np.int32), *numbers]), np.cumsum([0, *map(len, numbers)]))
 
     def only(self, chosen: np.ndarray) -> Sets:
         """With numbers in place of the chosen features, the others left out."""
@@ -102,17 +96,16 @@ class Sets:
         return len(self.at) - 1
 
 
-def select(p: Sets, u: Sets, most: int = SELECTED) -> np.ndarray:
+def select(features: np.ndarray, n: np.ndarray, m: np.ndarray, p: int, u: int, most: int = SELECTED) -> np.ndarray:
     """The features that are surely more frequent in P than in U, at most `most`, ascending.
 
-    Sure: the lower 95 % bound of the ratio of frequencies is `LIFT` or more. Those with the
-    largest bounds are taken.
+    n, m: in how many of the p documents of P and the u of U each feature is. Sure: the lower
+    95 % bound of the ratio of frequencies is `LIFT` or more. Those with the largest bounds are taken.
     """
-    n, m = np.bincount(p.flat, minlength=1 << BITS), np.bincount(u.flat, minlength=1 << BITS) + 0.5
-    some = np.flatnonzero(n >= 3)
-    least = np.log(n[some] / len(p)) - np.log(m[some] / len(u)) - 1.645 * np.sqrt(1 / n[some] + 1 / m[some])
+    m = m + 0.5
+    least = np.log(n / p) - np.log(m / u) - 1.645 * np.sqrt(1 / n + 1 / m)
     sure = np.flatnonzero(least >= np.log(LIFT))
-    return np.sort(some[sure[np.argsort(-least[sure], kind="stable")[:most]]])
+    return np.sort(features[sure[np.argsort(-least[sure], kind="stable")[:most]]])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -158,6 +151,37 @@ def averaged(sets: Sets, weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
     return np.mean([sigmoid(sets.times(w) + b) for w, b in zip(weights, biases)], axis=0)
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The feature set of each text as int32."""
+    for batch in batches:
+        data, at = utf8(batch.column(2))
+        for i, j, d, a in steps(data, at):
+            flat, first = features(d, a)
+            flat = flat.astype("<i4")
+            raws = [flat[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(raws, pa.binary())], ["positive", "doc_id", "raw"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of P and of U in each batch have a feature."""
+    for batch in batches:
+        positive = np.asarray(batch.column(0).to_pylist(), bool)
+        raws = batch.column(2).to_pylist()
+        p, u = (np.frombuffer(b"".join(r for r, x in zip(raws, positive) if x == want), "<i4") for want in (True, False))
+        found = np.unique(np.concatenate((p, u)))
+        n, m = (np.bincount(np.searchsorted(found, x), minlength=len(found)) for x in (p, u))
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], ["feature", "n", "m"])
+
+
+def _only(chosen: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [Sets(np.frombuffer(r, "<i4"), np.array([0, len(r) // 4])).only(chosen).flat.astype("<i4").tobytes() for r in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raws, pa.binary())], ["positive", "doc_id", "raw"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """The chosen features, a row of weights for each model, their biases, and where to cut."""
     ids = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -165,14 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rate = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     by_hash = lambda rows, n: rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = by_hash(known.where("toxic = 1"), POSITIVE).withColumn("positive", F.lit(True)).unionByName(by_hash(ids, UNLABELLED).withColumn("positive", F.lit(False)))
-    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("positive").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sample = ids.join(F.broadcast(chosen), "doc_id").withColumn("so_far", so_far).where(F.col("so_far") <= CHARS)
-    p, u = (Sets.of([r["text"] for r in sample.where(F.col("positive") == x).orderBy("doc_id", "text").select("text").toLocalIterator()]) for x in (True, False))
+    kind = "positive boolean, doc_id long, raw binary"
+    sets = materialise(ids.join(F.broadcast(chosen), "doc_id").select("positive", "doc_id", "text").mapInArrow(_sets, kind))
     bias = np.log(np.clip(rate, 1e-6, 1 - 1e-6) / (1 - np.clip(rate, 1e-6, 1 - 1e-6)))
-    if not len(p) or not len(u) or not 0 < rate < 1:
+    sizes = {r["positive"]: r["n"] for r in sets.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2 or not 0 < rate < 1:
         return np.zeros(0, np.int64), np.zeros((1, 0)), np.array([bias]), 0.5
-    chosen_features = select(p, u)
-    p, u = p.only(chosen_features), u.only(chosen_features)
+    counts = sets.mapInArrow(_counted, "feature int, n long, m long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n >= 3")
+    counts = counts.toArrow().sort_by("feature")
+    chosen_features = select(*(counts.column(c).to_numpy() for c in ("feature", "n", "m")), sizes[True], sizes[False])
+    few = sets.mapInArrow(_only(chosen_features), kind)
+    p, u = (Sets.of([np.frombuffer(r["raw"], "<i4") for r in few.where(F.col("positive") == x).orderBy("doc_id", "raw").select("raw").toLocalIterator()]) for x in (True, False))
     models = [train(p, u, rate, len(chosen_features), seed) for seed in range(MODELS)]
     weights, biases = np.array([w for w, _ in models]), np.array([b for _, b in models])
     return chosen_features, weights, biases, cut(averaged(p, weights, biases), averaged(u, weights, biases), rate)

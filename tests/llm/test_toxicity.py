@@ -41,6 +41,16 @@ def test_labels_of_held_out_rows_say_nothing(spark, corpus):
     assert table(X.score_toxicity(docs, turned)) == table(X.score_toxicity(docs, labels))
 
 
+def test_a_huge_text_leaves_the_others_in(spark, corpus):
+    docs, labels = corpus
+    from pyspark.sql import functions as F
+
+    first = docs.join(labels, "doc_id").where((F.col("toxic") == 1) & ~X.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    huge = docs.withColumn("text", F.when(F.col("doc_id") == first, F.concat("text", F.repeat(F.lit(" la"), 7_000_000))).otherwise(F.col("text")))
+    out = [r for r in X.score_toxicity(huge, labels).collect() if r.held_out]
+    assert sum((r.doc_id % 8 == 0) == (r.predicted == 1) for r in out) / len(out) > 0.97
+
+
 def test_odd_rows(spark, docs, wide, labels, empty):
     out = X.score_toxicity(docs, labels)
     assert out.count() == len(documents())
