@@ -93,7 +93,13 @@ def _token(m: re.Match) -> tuple[int, int] | None:
 
 
 def _card(m: re.Match) -> tuple[int, int] | None:
-    return m.span(1) if luhn_ok(m[1]) else None
+    """The longest part of what was matched, by whole groups from its end, that checks out."""
+    body = m[1]
+    while body:
+        if luhn_ok(body):
+            return m.start(1), m.start(1) + len(body)
+        body = body[: max(body.rfind(b" "), body.rfind(b"-"), 0)]
+    return None
 
 
 def _iban(m: re.Match) -> tuple[int, int] | None:

@@ -66,6 +66,12 @@ def test_checksums():
     assert not S.scan(b"IBAN DE88370400440532013000 .")
 
 
+def test_cards_before_other_digits():
+    for text, end in (("card: 4111 1111 1111 1111 12/27", 25), ("card: 4111111111111111 123", 22), ("card: 4111-1111-1111-1111-123", 25), ("visa 4111 1111 1111 1111 1 2 3", 24)):
+        assert S.scan(text.encode()) == [("card", text.index("4"), end)]
+    assert not S.scan(b"card: 4111 1111 1111 1112 12/27")
+
+
 def test_rows(docs, wide, empty, spark):
 
     odd = spark.createDataFrame([(50, "token = abcdefgh1"), (51, None)], "doc_id long, text string")
