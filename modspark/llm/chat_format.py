@@ -124,14 +124,20 @@ def canonical(df: DataFrame, id: str = "conv_id") -> DataFrame:
 
 
 def canonical_json(df: DataFrame, json: str, id: str = "conv_id") -> DataFrame:
-    """Rows (id, layout, turns) of JSON objects in mixed layouts; each row's own paths choose its mapping."""
+    """Rows (id, layout, turns) of JSON objects in mixed layouts; each row's own paths, those of all elements of an array, choose its mapping."""
     arrays = sorted({m.turns[0][0].split("[].")[0] for m in MAPPINGS if m.kind == "array"})
     none = F.array().cast("array<string>")
     keys = lambda x: F.coalesce(F.json_object_keys(x), none)
     top = F.filter(keys(F.col(json)), lambda k: ~k.isin(*arrays))
-    nested = [F.expr(f"transform(coalesce(json_object_keys(get_json_object(`{json}`, '$.{a}[0]')), cast(array() as array<string>)), k -> concat('{a}[].', k))") for a in arrays]
+    elements = {a: F.from_json(F.get_json_object(F.col(json), f"$.{a}"), "array<string>") for a in arrays}
+    below = lambda a: lambda k: F.concat(F.lit(f"{a}[]."), k)
+    nested = [F.transform(F.flatten(F.transform(F.coalesce(x, none), keys)), below(a)) for a, x in elements.items()]
     rows = df.select(F.col(id), F.col(json), F.array_sort(F.array_distinct(F.concat(top, *nested))).alias("__paths"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for mapping in reversed([m for m in MAPPINGS if m.kind == "array"]):  # where nothing else is known, an empty array has no turns
+        empty = F.size(elements[mapping.turns[0][0].split("[].")[0]]) == 0
+        layout = F.when(empty, F.lit(mapping.name)).otherwise(layout)
+        turns = F.when(empty, F.array().cast(TURNS)).otherwise(turns)
     for (_, key), (mapping, have) in reversed(LAYOUTS.items()):
         if mapping.kind == "rows":
             continue

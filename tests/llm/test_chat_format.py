@@ -80,6 +80,26 @@ def test_layouts_by_row(spark):
     assert out[0].formatted == "<|user|>\nq</s>\n<|assistant|>\na</s>\n"
 
 
+def test_arrays_whose_first_element_says_too_little(spark):
+    rows = [
+        {"messages": [{"role": "system"}, {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt"}]},
+        {"messages": []},
+        {"conversations": [], "id": 3},
+        {"messages": [], "prompt": "q", "response": "a"},
+        {"messages": [], "conversations": [{"from": "human", "value": "q"}]},
+        {"messages": "none"},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(rows)], "conv_id long, j string")
+    out = {r.conv_id: (r.layout, r.turns and [tuple(t) for t in r.turns], r.formatted) for r in C.format_chats(df, json="j").collect()}
+    assert out[0][:2] == ("messages", [("system", ""), ("user", "q"), ("assistant", "a")])
+    assert out[1][:2] == ("shares", [("user", "q"), ("assistant", "")])
+    assert out[2] == ("messages", [], "") and out[3] == ("shares", [], "")
+    assert out[4][:2] == ("prompt_response", [("user", "q"), ("assistant", "a")])
+    assert out[5][:2] == ("shares", [("user", "q")])
+    assert out[6][:2] == (None, None)
+
+
 def test_query(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "hé"), (1, 1, "assistant", "<ok>")], SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
     out = {r.conv_id: r for r in op8_chat_format(spark, str(tmp_path)).collect()}
