@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modspark.llm.text import utf8
+from modspark.llm.text import place_of, utf8
 from modspark.session import materialise, ship
 
 _ENDS = b" \t\n\x0b\x0c\r"
@@ -62,7 +62,7 @@ def _keys(min_chars: int):
 def _rewrite(names: list[str], text: str, counts: tuple[str, str], min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at_text = names.index(text)
+            at_text = place_of(names, text)
             column, drops = batch.column(at_text), batch.column(len(names))
             data, at = utf8(column)
             lines = np.diff(np.searchsorted(np.flatnonzero(data == 10), at)) + 1

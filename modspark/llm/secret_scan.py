@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from modspark.llm.text import utf8
+from modspark.llm.text import place_of, utf8
 from modspark.session import ship
 
 BASE = ("assign", "access", "hex")
@@ -175,7 +175,7 @@ def _run(names: list[str], text: str, to: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            data, at = utf8(batch.column(names.index(text)))
+            data, at = utf8(batch.column(place_of(names, text)))
             raw = data.tobytes()
             spans = [[dict(zip(("kind", "start", "end"), x)) for x in scan(raw[at[i] : at[i + 1]])] for i in range(len(at) - 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(spans, kind)], [*names, to])

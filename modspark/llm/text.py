@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text that are handled in one numpy step; a longer text makes a step of its own.
 STEP = 1 << 18
+#: Bytes of a long text that are hashed at a time: a step's arrays are some 30 times as large.
+PIECE = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
@@ -51,6 +53,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def place_of(names: list[str], wanted: str) -> int:
+    """Where a column stands: by its name, or by that without regard to case, as Spark finds it."""
+    if wanted in names:
+        return names.index(wanted)
+    return [x.lower() for x in names].index(wanted.lower())
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, nulls as empty texts, and where each text begins (one more)."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,19 +103,34 @@ def words(data: np.ndarray, at: np.ndarray, parts: np.ndarray = SPACE) -> tuple[
     return starts, ends, np.searchsorted(starts, at)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, wherever it stands."""
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_INVERSE, n + 1)[starts])
+    return (sums[ends] - sums[starts]) * powers(_INVERSE, n + 1)[starts]
 
 
-def code_points(data: np.ndarray) -> np.ndarray:
-    """Code points before each byte (one more)."""
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=total[1:])
-    return total
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, wherever it stands; spans ascend and don't overlap much.
+
+    Works through long texts, and long spans, PIECE bytes at a time.
+    """
+    if len(data) <= PIECE:
+        return mix(_sums(data, starts, ends))
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = int(np.searchsorted(ends, low + PIECE, "right"))
+        if j > i:
+            out[i:j] = _sums(data[low : int(ends[j - 1])], starts[i:j] - low, ends[i:j] - low)
+        else:
+            j, total, high = i + 1, 0, int(ends[i])
+            for p in range(low, high, PIECE):
+                part = data[p : min(p + PIECE, high)]
+                total += int(_sums(part, np.array([0]), np.array([len(part)]))[0]) * pow(_BASE, p - low, 1 << 64)
+            out[i] = total & _MASK
+        i = j
+    return mix(out)
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
@@ -129,8 +153,10 @@ def grams(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, n
     long_enough = np.repeat(count >= size, runs)
     b = begin[long_enough]
     total = np.zeros(len(b), np.uint64)
-    for k in range(size):
-        total += word[b + k] * seeds[k]
+    for p in range(0, len(b), PIECE):
+        q = slice(p, p + PIECE)
+        for k in range(size):
+            total[q] += word[b[q] + k] * seeds[k]
     out[long_enough] = total
     for t in np.flatnonzero((count > 0) & (count < size)):
         some = word[first[t] : first[t + 1]]
@@ -150,12 +176,12 @@ def sorted_sets(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 
-def reduced(ufunc: np.ufunc, values: np.ndarray, at: np.ndarray, empty) -> np.ndarray:
-    """ufunc over each text's values; `empty` where there are none."""
-    out = np.full(len(at) - 1, empty, values.dtype)
+def reduced(ufunc: np.ufunc, values: np.ndarray, at: np.ndarray, empty, kind: type | None = None) -> np.ndarray:
+    """ufunc over each text's values, as numbers of a kind; `empty` where there are none."""
+    out = np.full(len(at) - 1, empty, kind or values.dtype)
     some = np.flatnonzero(np.diff(at))
     if len(some):
-        out[some] = ufunc.reduceat(values, at[:-1][some])
+        out[some] = ufunc.reduceat(values, at[:-1][some], dtype=kind)
     return out
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modspark.llm.text import LOWER, PARTS, hashes, mix, sorted_sets, steps, utf8, words
+from modspark.llm.text import LOWER, PARTS, hashes, mix, place_of, sorted_sets, steps, utf8, words
 from modspark.session import materialise, ship
 
 POSITIVE = 4000
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 def _score(names: list[str], text: str, chosen: np.ndarray, weights: np.ndarray, biases: np.ndarray, place: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = utf8(batch.column(names.index(text)))
+            data, at = utf8(batch.column(place_of(names, text)))
             scores = np.zeros(len(at) - 1)
             for i, j, d, a in steps(data, at):
                 flat, first = features(d, a)
