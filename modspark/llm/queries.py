@@ -71,9 +71,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edit = lambda at, removed, inserted: F.struct(at.alias("at"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
     edits = F.array(edit(place(0.5), 0, " (as amended) "), edit(place(0.25), 12, ""), edit(place(0.0), 0, "Note: "))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
-    trees = token_counts.build_trees(docs).withColumn("before", F.col("n_tokens"))
-    after = token_counts.apply_edits(trees)
-    return after.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.size("edits").cast("long").alias("n_edits"), "n_reencoded")
+    out = token_counts.edited_counts(docs.withColumn("n_edits", F.size("edits").cast("long")))
+    return out.select("doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_reencoded")
 
 
 _REACH = """

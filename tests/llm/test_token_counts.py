@@ -48,6 +48,75 @@ def test_only_what_an_edit_touches_is_encoded():
     assert again < 100
 
 
+def test_very_long_pretokens():
+    count = K.counter(default_path())
+    for text in ("a" + " " * 1_000_000 + "x", "=" * 50_000 + "\n", "x" * 300_000):
+        tree, n = K.TokenTree.of(text, count), len(encoder(default_path()).ids(text))
+        assert tree.tokens == n
+        new, _ = tree.edit(text, 20_000, 5, " in between ", count)
+        assert tree.tokens == len(encoder(default_path()).ids(new)) and tree.points == len(new)
+
+
+def test_work_of_an_edit_does_not_grow_with_the_text():
+    count = K.counter(default_path())
+
+    def touched(n):
+        text = "some words here " * n
+        tree = K.TokenTree.read(K.TokenTree.of(text, count).bytes())
+        sums = tree.sums.copy()
+        _, again = tree.edit(text, len(text) // 2, 4, "new", count)
+        return again, len(tree.changed), int((tree.sums != sums).any(0).sum())
+
+    (a, x, p), (b, y, q) = touched(1000), touched(64_000)
+    assert a == b < 50 and max(x, y) <= 2 and p <= 16 and q <= p + 16
+
+
+def test_leaves_that_grow_are_split():
+    count, text = K.counter(default_path()), prose(5000, 4)
+    tree = K.TokenTree.of(text, count)
+    check(text, [(700, 0, prose(9000, 5)), (20, 4, "x"), (3000, 20_000, "")])
+    tree.edit(text, 700, 0, prose(9000, 5), count)
+    assert max(leaf.shape[1] for leaf in tree.leaves) <= K.LEAF
+
+
+def test_files_that_are_not_plain_byte_level_bpe_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    from modspark.llm.bpe import Encoder
+
+    with open(default_path(), encoding="utf-8") as f:
+        held = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"model": held["model"] | {"merges": held["model"]["merges"][::-1]}}):
+        (tmp_path / "t.json").write_text(json.dumps(held | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            Encoder(str(tmp_path / "t.json"))
+
+
+def test_query_against_full_encoding(spark, docs, tmp_path):
+    from modspark.llm.queries import op10_token_counts
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((repr(r.doc_id), r.n_tokens, r.n_tokens_after, r.n_edits) for r in op10_token_counts(spark, str(tmp_path)).collect())
+    want = []
+    for doc, t, *_ in documents():
+        t = t or ""
+        n, half, quarter = full(t), len(t) // 2, len(t) // 4
+        new = t[:half] + " (as amended) " + t[half:]
+        new = new[:quarter] + new[quarter + 12 :]
+        want.append((repr(doc), n, full("Note: " + new), 3))
+    assert got == sorted(want)
+
+
+def test_one_pass_is_the_same_as_two(docs, wide):
+    edits = F.array(F.struct(F.lit(3).alias("at"), F.lit(2).alias("removed"), F.lit("new ").alias("inserted")))
+    two = K.apply_edits(K.build_trees(docs).withColumn("was", F.col("n_tokens")).withColumn("edits", edits))
+    one = K.edited_counts(wide.withColumnRenamed("text", "Text").withColumn("edits", edits))
+    assert table(one, "doc_id", "n_tokens", "n_tokens_after", "n_reencoded") == sorted(repr(r).replace("was=", "n_tokens=").replace("after_=", "n_tokens_after=") for r in two.select("doc_id", "was", F.col("n_tokens").alias("after_"), "n_reencoded").collect())
+    assert "text" not in map(str.lower, one.columns)
+
+
 def test_rows(docs, wide, empty, spark):
     trees = K.build_trees(docs)
     assert {r.n_tokens == full(r.text or "") for r in trees.collect()} == {True}
