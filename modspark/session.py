@@ -10,6 +10,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from modspark.errors import InvalidOption
+
 ARROW_BYTES = str(8 << 20)
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
@@ -54,7 +56,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a local one only where it is unset and the master is local."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -62,6 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise InvalidOption("spark.checkpoint.dir must name a folder that all executors see")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="modspark-shared-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -80,10 +84,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table that materialise() has written; frames over them end with it."""
-    while _written:
-        spark, path = _written.pop()
+def held() -> frozenset[str]:
+    """Paths of the tables that materialise() has written and that are still there."""
+    return frozenset(path for _, path in _written)
+
+
+def release(paths: frozenset[str] | None = None) -> None:
+    """Delete tables that materialise() has written, all of them unless paths are given; frames over them end with it."""
+    for spark, path in list(_written):
+        if paths is not None and path not in paths:
+            continue
+        _written.remove((spark, path))
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
