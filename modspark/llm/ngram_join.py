@@ -1,27 +1,38 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 Documents are sets of hashed runs of five words. Sets that are equal make one representative.
-A forest has `TREES` tries; a label in a trie is a run of up to `LONGEST` minima. Matching
-begins at the longest prefixes and shortens them one minimum at a time until the chance that a
-pair at the threshold agrees on a prefix in some trie reaches `RECALL` (prefix_length()).
-Grouping by (trie, prefix) is what a sorted trie's neighbours at that depth are.
-
-Nodes with one member end there. Nodes of different tries with the same members are one unit.
-Each unit's members come with their sets, and a pair is verified in the first trie where it
-agrees, so once. A unit of more than `BLOCK` members is dealt into blocks, and each pair of
-blocks is a group of its own: no task holds more than two blocks, and no pair leaves a task.
-What leaves is, for each member, how many documents it links to and one it can reach; classes
-are then the connected components.
+A forest has `TREES` tries; a representative's label in a trie is a run of `LONGEST` minima, and
+labels that share a branch of a trie are kept sorted. Matching begins at whole labels: pairs
+that agree on one are verified. Then prefixes get shorter, one minimum at a time, but only those
+of representatives whose recall is not reached: not all who share a shortest branch with them
+have been compared with them. That is known by counting. A shortest branch is the prefix at
+which a pair at the threshold agrees in some trie with chance `RECALL` (prefix_length()); a
+representative has as many meetings as there are others on its shortest branches, and each
+compared pair accounts for as many of them as there are tries in which it shares one. When
+all are accounted for, no shorter prefix can bring anyone new, and it takes no further part.
+Where the representatives left miss `FEW` meetings each at most, they go to the shortest branches at once.
+
+Nodes with one member end there. Nodes of a round with the same members are one unit, looked at in
+the first trie. A pair is verified at the longest prefix on which it agrees, in the first trie
+of that round where it does, so once. A unit of more than `BLOCK` members, or of sets too large together, is
+dealt into parts, and each pair of parts is a group of its own: no task holds more than two, and
+no pair leaves a task. What leaves is, for each member, how many documents it links to, how
+many meetings were settled and one document it can reach; classes are then the connected components.
+
+Texts are read again only for documents that share a branch with another; the others are told by
+a bitmap and aren't shuffled.
 
 Defined cases: a text of fewer than five words is one run of all its words; a text without
 words links with nothing; rows that repeat a doc_id are one document, that with the least
 digest; rows with a null doc_id have a null class and no links; an empty table gives an empty
-result; other columns don't matter.
+result; a very long text is held by one worker as its words' hashes and runs, and its set by
+each group it is in; other columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modspark.llm.links import Forest, classes
+from modspark.llm.members import marked
 from modspark.llm.text import binaries, grams, hashes, mix, reduced, signed, sorted_sets, steps, utf8, words
 from modspark.session import materialise, ship
 
@@ -37,11 +49,17 @@ THRESHOLD = 0.8
 TREES = 24
 LONGEST = 8
 RECALL = 0.9999
+#: Members of a part of a unit, and runs of words in their sets together.
 BLOCK = 512
+WEIGHT = 1 << 21
+#: Meetings that representatives may miss on average for the last prefixes to be taken at once.
+FEW = 256
+#: Bits that a minimum below the shortest branch has in a stored label.
+BITS = 16
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold is found with the wanted chance."""
+    """Where shortening ends: the longest prefix at which a pair at the threshold is found with the wanted chance."""
     depth = longest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
@@ -59,89 +77,92 @@ def digests(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(signed(reduced(np.add, mix(flat ^ np.uint64(salt)), at, 0)) for salt in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
 
-def tree_keys(flat: np.ndarray, at: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The hashed prefix of each set's label in each tree."""
+def step_bits(levels: int) -> int:
+    """Bits for each minimum in what a label has beyond its shortest branch."""
+    return min(BITS, 62 // max(levels, 1))
+
+
+def tree_labels(flat: np.ndarray, at: np.ndarray, trees: int, least: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's label in each tree: the hash of its first `least` minima, and some bits of each further one."""
     x = (flat >> np.uint64(32)).astype(np.uint32)
-    seed = mix(np.arange(2 * trees * depth, dtype=np.uint64) + np.uint64(0xA5A5))
-    keys = np.zeros((len(at) - 1, trees), np.uint64)
+    seed = mix(np.arange(2 * trees * longest, dtype=np.uint64) + np.uint64(0xA5A5))
+    bits = np.uint64(step_bits(longest - least))
+    tops, rests = (np.zeros((len(at) - 1, trees), np.uint64) for _ in range(2))
     for t in range(trees):
-        for k in range(depth):
-            a, b = (np.uint32(int(seed[2 * (t * depth + k) + i]) & 0xFFFFFFFF) for i in (0, 1))
-            least = reduced(np.minimum, x * (a | np.uint32(1)) + b, at, 0xFFFFFFFF)
-            keys[:, t] = mix(keys[:, t] ^ least.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return keys.view(np.int64)
+        for k in range(longest):
+            a, b = (np.uint32(int(seed[2 * (t * longest + k) + i]) & 0xFFFFFFFF) for i in (0, 1))
+            minimum = reduced(np.minimum, x * (a | np.uint32(1)) + b, at, 0xFFFFFFFF).astype(np.uint64)
+            if k < least:
+                tops[:, t] = mix(tops[:, t] ^ minimum + np.uint64(0x9E3779B97F4A7C15))
+            else:
+                rests[:, t] = rests[:, t] << bits | mix(minimum) >> np.uint64(64) - bits
+    return tops.view(np.int64), rests.view(np.int64)
+
 
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.int64()))
 
-def _sign(size: int, trees: int, depth: int):
+
+def _sign(size: int, trees: int, least: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
             for i, j, d, a in steps(data, at):
                 flat, first = shingles(d, a, size)
                 h, g = digests(flat, first)
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(tree_keys(flat, first, trees, depth).ravel()), trees).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(h), pa.array(g), keys], ["doc_id", "size", "h", "g", "keys"])
+                labels = map(_lists, tree_labels(flat, first, trees, least, longest))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(h), pa.array(g), *labels], ["doc_id", "size", "h", "g", "tops", "rests"])
 
     return run
 
 
-def _spread(size: int, block: int):
-    """Rows (doc, text, h, g, copies, keys, units) to one row for each group of a unit that the document is in."""
+def _sets(size: int):
+    """Texts to sets, for ids of representatives and others; rows whose set has digests of its own follow their id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            h, g = (np.asarray(batch.column(k)) for k in (2, 3))
-            units = batch.column(6).to_pylist()
-            reps = np.asarray(batch.column(0))
             for i, j, d, a in steps(data, at):
                 flat, first = shingles(d, a, size)
-                right = (h[i:j] == (own := digests(flat, first))[0]) & (g[i:j] == own[1])
-                row, tree, key, low, high, part = [], [], [], [], [], []
-                for r in np.flatnonzero(right):
-                    for u in units[i + r]:
-                        parts = -(-u["n"] // block)
-                        mine = int(mix(reps[i + r : i + r + 1].astype(np.uint64))[0] % np.uint64(parts))
-                        for other in range(parts):
-                            row.append(r)
-                            tree.append(u["tree"])
-                            key.append(u["key"])
-                            low.append(min(mine, other))
-                            high.append(max(mine, other))
-                            part.append(mine)
-                take = pa.array(row, pa.int64())
-                own = batch.slice(i, j - i)
-                sets = binaries(flat, first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tree, pa.int32()), pa.array(key, pa.int64()), *(pa.array(x, pa.int32()) for x in (low, high, part)), own.column(0).take(take), own.column(4).take(take), own.column(5).take(take), sets.take(take)],
-                    ["tree", "key", "low", "high", "part", "rep", "copies", "keys", "set"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, digests(flat, first)), binaries(flat, first)], ["rep", "h", "g", "set"])
 
     return run
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, shift: int, done: int | None):
+    """Members of a group (tree, top, prefix, low, high) to rows (rep, links, root, seen).
+
+    shift: bits of a label's rest that the prefix leaves out; done: those of the round before, whose pairs are settled.
+    """
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        tree, _, low, high = (x.as_py() for x in key)
+        tree, low, high = (key[k].as_py() for k in (0, 3, 4))
         group = group.sort_by("rep")
         rep = group.column("rep").to_numpy()
         keep = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1])))
         group, rep = group.take(pa.array(keep)), rep[keep]
         copies, part = group.column("copies").to_numpy(), group.column("part").to_numpy()
-        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        tops, rests = (group.column(c).combine_chunks().flatten().to_numpy().reshape(len(rep), -1) for c in ("tops", "rests"))
+        here, longer = rests >> shift, rests >> (done or 0)
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("set")]
         size = np.array([len(x) for x in sets])
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         at = np.concatenate(([0], np.cumsum(size)))
         mark = np.zeros(int(flat.max()) + 1, bool)
-        links, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
+        links, seen, forest = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64), Forest(len(rep))
         for i in range(len(rep) - 1):
-            same = keys[i + 1 :] == keys[i]
-            first = same.argmax(1)
-            near = same[np.arange(len(first)), first] & (first == tree) & (np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i]))
+            same = tops[i + 1 :] == tops[i]
+            now = same & (here[i + 1 :] == here[i])
+            first = now.argmax(1)
+            mine = now[np.arange(len(first)), first] & (first == tree)
+            if done is not None:
+                mine &= ~(same & (longer[i + 1 :] == longer[i])).any(1)
             if low != high:
-                near &= part[i + 1 :] != part[i]
-            js = np.flatnonzero(near) + i + 1
+                mine &= part[i + 1 :] != part[i]
+            met = same.sum(1) * mine
+            seen[i] += met.sum()
+            seen[i + 1 :] += met
+            js = np.flatnonzero(mine & (np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i]))) + i + 1
             if not len(js):
                 continue
             mine = flat[at[i] : at[i + 1]]
@@ -155,35 +176,66 @@ def _verify(threshold: float):
                 links[i] += copies[js].sum()
                 links[js] += copies[i]
                 forest.join(i, js)
-        some = np.flatnonzero(links)
-        return pa.table({"rep": rep[some], "links": links[some], "root": rep[forest.roots()[some]]})
+        some = np.flatnonzero(seen)
+        return pa.table({"rep": rep[some], "links": links[some], "root": rep[forest.roots()[some]], "seen": seen[some]})
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, block: int = BLOCK, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _round(tries: DataFrame, sets: DataFrame, threshold: float, shift: int, done: int | None, block: int, weight: int) -> DataFrame:
+    """Rows (rep, links, root, seen) of the pairs that agree on a prefix without `shift` bits, and on none without `done`; tries: labels that still take part."""
+    cut = tries.withColumn("prefix", F.shiftright("rest", shift))
+    nodes = cut.groupBy("tree", "top", "prefix").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum("size").alias("weight")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("weight") / weight)).cast("int")
+    units = nodes.groupBy("n", "a", "b", "x").agg(F.min(F.struct("tree", "top", "prefix")).alias("u"), F.max(parts).alias("parts")).select("u.*", "parts")
+    of_rep = cut.join(units, ["tree", "top", "prefix"]).groupBy("rep").agg(F.collect_list(F.struct("tree", "top", "prefix", "parts")).alias("units"))  # one for each tree at most
+    members = sets.join(of_rep, "rep").select("*", F.explode("units").alias("u")).drop("units")
+    part = F.pmod(F.xxhash64("rep"), F.col("u.parts")).cast("int")
+    dealt = members.select("u.tree", "u.top", "u.prefix", part.alias("part"), "rep", "copies", "tops", "rests", "set", F.explode(F.sequence(F.lit(0), F.col("u.parts") - 1)).alias("other"))
+    dealt = dealt.select("*", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).drop("other")
+    groups = dealt.groupBy("tree", "top", "prefix", "low", "high")
+    return groups.applyInArrow(_verify(threshold, shift, done), "rep long, links long, root long, seen long")
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, block: int = BLOCK, weight: int = WEIGHT, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, class_id, n_links), one for each id.
 
     class_id: the smallest id that links can reach, the document's own included. n_links: other
     documents whose sets have at least the threshold's Jaccard similarity, copies counted.
     """
     ship(docs.sparkSession)
+    least = prefix_length(threshold, trees, longest, recall)
+    step = step_bits(longest - least)
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     some = texts.where(F.col("doc_id").isNotNull())
-    signed_rows = some.mapInArrow(_sign(size, trees, prefix_length(threshold, trees, longest, recall)), "doc_id long, size long, h long, g long, keys array<long>")
-    signs = materialise(signed_rows.groupBy("doc_id").agg(F.min(F.struct("h", "g", "size", "keys")).alias("s")).select("doc_id", "s.*"))
-    groups = materialise(signs.where("size > 0").groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
-
-    labels = groups.select("rep", F.posexplode("keys").alias("tree", "key"))
-    nodes = labels.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("n > 1")
-    units = nodes.groupBy("n", "a", "b", "x").agg(F.min(F.struct("tree", "key")).alias("u")).select("u.tree", "u.key", "n")
-    of_rep = labels.join(units, ["tree", "key"]).groupBy("rep").agg(F.collect_list(F.struct("tree", "key", "n")).alias("units"))
-    members = groups.join(of_rep, "rep").select("rep", "h", "g", "copies", "keys", "units")
-    spread = some.join(members, F.col("doc_id") == F.col("rep")).select("rep", "text", "h", "g", "copies", "keys", "units")
-    spread = spread.mapInArrow(_spread(size, block), "tree int, key long, low int, high int, part int, rep long, copies long, keys array<long>, set binary")
-    found = materialise(spread.groupBy("tree", "key", "low", "high").applyInArrow(_verify(threshold), "rep long, links long, root long"))
-
-    known = classes(groups.select("h", "g", "rep", "copies"), found).select("h", "g", "class", "links")
+    signed_rows = some.mapInArrow(_sign(size, trees, least, longest), "doc_id long, size long, h long, g long, tops array<long>, rests array<long>")
+    signs = materialise(signed_rows.groupBy("doc_id").agg(F.min(F.struct("h", "g", "size", "tops", "rests")).alias("s")).select("doc_id", "s.*"))
+    groups = materialise(signs.where("size > 0").groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first(F.struct("size", "tops", "rests")).alias("s")).select("h", "g", "rep", "copies", "s.*"))
+
+    labels = groups.select("rep", "size", F.posexplode(F.arrays_zip("tops", "rests")).alias("tree", "l")).select("rep", "size", "tree", F.col("l.tops").alias("top"), F.col("l.rests").alias("rest"))
+    branches = labels.groupBy("tree", "top").agg(F.count("*").alias("n")).where("n > 1")
+    tries = materialise(labels.join(branches, ["tree", "top"]).sortWithinPartitions("tree", "top", "rest", "rep"))
+    meetings = materialise(tries.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("all")))
+
+    again = marked(some, "doc_id", meetings.select("rep"), "__may").where("__may").select("doc_id", "text").mapInArrow(_sets(size), "rep long, h long, g long, set binary")
+    sets = materialise(again.join(groups.join(meetings.select("rep"), "rep", "left_semi").select("rep", "h", "g", "copies", "tops", "rests"), ["rep", "h", "g"]).select("rep", "copies", "tops", "rests", "set"))
+
+    found, left, depth, done = [], tries, longest, None
+    while True:
+        found.append(materialise(_round(left, sets, threshold, step * (longest - depth), done, block, weight)))
+        if depth == least:
+            break
+        seen = reduce(DataFrame.unionByName, found).groupBy("rep").agg(F.sum("seen").alias("seen"))
+        missing = F.col("all") - F.coalesce("seen", F.lit(0))
+        open = materialise(meetings.join(seen, "rep", "left").select("rep", missing.alias("missing")).where("missing > 0"))
+        rest = open.agg(F.count("*").alias("n"), F.sum("missing").alias("missing")).first()
+        if not rest["n"]:
+            break
+        done = step * (longest - depth)
+        depth = least if rest["missing"] <= FEW * rest["n"] else depth - 1
+        left = tries.join(open.select("rep"), "rep", "left_semi")
+
+    known = classes(groups.select("h", "g", "rep", "copies"), reduce(DataFrame.unionByName, found).where("links > 0")).select("h", "g", "class", "links")
     out = signs.select("doc_id", "h", "g").join(known, ["h", "g"], "left")
     out = out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
     return out.unionByName(texts.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
@@ -194,5 +246,5 @@ def keep_one(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
 
     Rows that repeat an id, and rows with a null id, all stay or go with it, and stay.
     """
-    found = jaccard_classes(docs, id=id, **options).where("class_id <> doc_id").select(F.col("doc_id").alias(id))
-    return docs.join(found, id, "left_anti").select(docs.columns)
+    found = jaccard_classes(docs, id=id, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(found, F.col(id) == F.col("__gone"), "left_anti").select(docs.columns)

@@ -1,10 +1,14 @@
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import documents, near, prose, table
 
 from modspark.llm import ngram_join
 from modspark.llm.components import components
+from modspark.llm.text import steps, utf8
 
 pytestmark = pytest.mark.usefixtures("spark")
 
@@ -87,6 +91,67 @@ def test_prefixes_shorten_until_the_recall_is_reached():
     assert ngram_join.prefix_length(0.8, 20, 8, 1.1) == 1
 
 
+def made_pairs(n, low, high):
+    """Pairs of texts whose exact similarity lies in [low, high]."""
+    draw, out = random.Random(8), []
+    while len(out) < n:
+        words = [f"w{draw.randrange(10**9)}" for _ in range(draw.randrange(60, 160))]
+        other = list(words)
+        for _ in range(draw.randrange(1, 4)):
+            other[draw.randrange(len(other))] = f"v{draw.randrange(10**9)}"
+        a, b = sets([(0, " ".join(words)), (1, " ".join(other))]).values()
+        if low <= len(a & b) / len(a | b) <= high:
+            out.append((" ".join(words), " ".join(other)))
+    return out
+
+
+def test_recall_near_the_threshold():
+    least = ngram_join.prefix_length()
+    texts = [t for pair in made_pairs(4000, 0.8, 0.85) for t in pair]
+    data, at = utf8(pa.array(texts))
+    parts = [ngram_join.tree_labels(*ngram_join.shingles(d, a, 5), ngram_join.TREES, least, ngram_join.LONGEST)[0] for _, _, d, a in steps(data, at)]
+    tops = np.concatenate(parts)
+    assert (tops[::2] == tops[1::2]).any(1).mean() >= 0.999
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_prefixes_are_shortened_only_where_something_is_left(spark, monkeypatch, few):
+    close = prose(400, 41)
+    rows = [(k, near(close, 0.002, k)) for k in range(40)]  # agree on whole labels somewhere
+    rows += [(1000 + 2 * k + i, t) for k, pair in enumerate(made_pairs(120, 0.8, 0.84)) for i, t in enumerate(pair)]
+    rounds, plain = [], ngram_join._round
+
+    def watched(tries, *rest):
+        rounds.append({r.rep for r in tries.select("rep").distinct().collect()})
+        return plain(tries, *rest)
+
+    monkeypatch.setattr(ngram_join, "_round", watched)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    assert got(ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), longest=7)) == brute(rows)
+    assert len(rounds) > 1 and all(a > b for a, b in zip(rounds, rounds[1:]))
+    assert len([r for r in rounds[1] if r < 1000]) < 20 and any(r >= 1000 for r in rounds[1])
+
+
+def test_heavy_sets_are_dealt_into_parts(spark):
+    base = prose(300, 6)
+    rows = [(k, near(base, 0.01, k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(ngram_join.jaccard_classes(df, weight=1000)) == brute(rows)
+
+
+def test_mark_misses_no_id(spark):
+    from pyspark.sql import functions as F
+
+    from modspark.llm.members import marked
+
+    ids = spark.range(0, 3000, 7).select(F.col("id").alias("x"))
+    rows = spark.range(-5, 3000).select(F.when(F.col("id") >= 0, F.col("id")).alias("id"), F.lit("z").alias("__piece_"))
+    out = marked(rows, "id", ids, "may").collect()
+    assert len(out) == 3005
+    assert all(r.may for r in out if r.id is not None and r.id % 7 == 0)
+    assert not any(r.may for r in out if r.id is None) and sum(r.may for r in out) < 0.25 * len(out)
+
+
 def test_components(spark):
     import random
 
