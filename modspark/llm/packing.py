@@ -7,9 +7,11 @@ the multiset of other lengths that comes closest to the capacity; counts are bac
 and the pattern is repeated as often as the counts allow. So the plan's size depends on the
 window and not on the corpus.
 
-A piece finds its place by its rank among the pieces of its length: a row number inside
-hashed shards of each length plus the sizes of the shards before, so that no length, however
-common, meets in one task.
+A piece that fills a window is a sequence of its own, and takes no part in the plan. Any other
+piece finds its place by its rank among the pieces of its length: a row number inside hashed
+shards of each length plus the sizes of the shards before. There are as many shards as keep
+each at about `ROWS` pieces, so that no length, however common, meets in one task.
+Numbers of sequences are unique and leave gaps.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a document are
 packed each; a null doc_id is packed like any other; an empty table gives an empty result;
@@ -23,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modspark.llm.bpe import default_path, encoder
+from modspark.llm.totals import running
 from modspark.session import materialise, ship
 
 WINDOW = 2048
 END = 1
-SHARDS = 64
+#: Pieces of a shard, about.
+ROWS = 1 << 16
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -117,11 +121,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     ship(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = materialise(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(tokenizer or default_path(), window, end), schema))
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SHARDS)).cast("int"))
-    sizes = sharded.groupBy("length", "shard").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    inside = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = sharded.withColumn("inside", inside).join(sizes.select("length", "shard", before.alias("before")), ["length", "shard"])
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("inside")).cast("long").alias("rank"))
-    return ranked.mapInArrow(_place(plan(counts, window)), f"{schema}, sequence_id long, offset long")
+    partial, full = (pieces.where(F.col("length") < window), pieces.where(F.col("length") == window))
+    counts.pop(window, None)
+    rows = plan(counts, window)
+    planned = max((sequence + times for _, _, sequence, _, _, times in rows), default=0)
+
+    shards = 1 << max(0, -(-max(counts.values(), default=0) // ROWS) - 1).bit_length()
+    sharded = partial.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int"))
+    ranked = running(sharded, ["length"], "shard", ["doc_id", "start", "ids_crc32"], {"rank": F.lit(1)})
+    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
+    placed = ranked.mapInArrow(_place(rows), f"{schema}, sequence_id long, offset long")
+    alone = full.select("*", (F.monotonically_increasing_id() + planned).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(alone)
