@@ -17,8 +17,8 @@ shards in permuted order, disjoint ones, and a hash orders the rows inside a sha
 are functions of hashes and a seed: reruns agree.
 
 There is a shard for `SHARD` words of the mix. A hot source is spread over its blocks; windows
-run inside a block, over the blocks of a source, or over the sources, never over the documents
-of a source. All sizes grow with the table, so that no task does.
+run inside a block, inside a bucket of about `BUCKET` blocks or shards of a source, over the buckets
+of a source, or over the sources, never over the documents or all the blocks of a source.
 
 Sources are few: a node of the tree holds a number for each of them in one row.
 
@@ -35,12 +35,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modspark.llm.totals import running
 from modspark.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 256
 ROWS = 1024
 SHARD = 8_000_000
+#: Blocks, or shards, of a source over which one window runs, as a power of 2.
+BUCKET = 10
 #: What is known of a row's source, what the mix takes of the row, and where each taking goes.
 FIELDS = ("size", "source_size", "target", "taken", "draws")
 
@@ -129,9 +132,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
     goals = goals.withColumn("passes", passes).withColumn("rest", goal - F.col("passes") * F.col("source_size"))
-    permuted = Window.partitionBy("key").orderBy(F.col("words") == 0, F.xxhash64("key", "block", F.lit(seed + 2)), "block")
-    before = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.join(goals, "key").withColumns({"nth": F.row_number().over(permuted).cast("long"), "blocks": F.count("*").over(Window.partitionBy("key"))})
+    # Buckets are runs of the permuted order: its leading bits, behind whether a block has words.
+    bits = max(0, count.bit_length() - 1 - BUCKET)
+    order = F.xxhash64("key", "block", F.lit(seed + 2))
+    bucket = (F.col("words") == 0).cast("long") * (1 << bits) + (F.shiftright(order, 64 - bits) + (1 << bits >> 1) if bits else F.lit(0))
+    blocks = running(blocks.withColumns({"__bucket": bucket, "__order": order}), ["key"], "__bucket", ["__order", "block"], {"before": F.col("words"), "earlier": F.lit(1)})
+    numbers = blocks.groupBy("key").agg(F.count("*").alias("blocks"))
+    before = F.col("before")
+    blocks = blocks.join(goals, "key").join(numbers, "key").withColumn("nth", F.col("earlier") + 1)
     blocks = blocks.withColumn("extra", F.least("words", F.greatest(F.lit(0), F.col("rest") - before)).cast("long"))
 
     # Every taking of a block has an ordinal in its source; shards get runs of ordinals by their quotas.
@@ -139,9 +147,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     takings = blocks.where(last >= 0).select("number", "key", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pass"), "blocks", "nth")
     takings = takings.select("number", "key", "block", "pass", (F.col("pass") * F.col("blocks") + F.col("nth") - 1).alias("ordinal"))
     quotas = blocks.groupBy("number").agg(F.sum(F.col("passes") + (F.col("extra") > 0).cast("long")).alias("quota"))
-    ends = F.sum("quota").over(Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = splitting_tree(quotas, levels, seed).withColumn("end", ends).where("quota > 0")
-    placed = runs.select("number", "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("ordinal"))
+    tree = materialise(splitting_tree(quotas, levels, seed)).withColumn("__bucket", F.shiftright("shard", BUCKET))
+    runs = running(tree, ["number"], "__bucket", ["shard"], {"begin": F.col("quota")}).where("quota > 0")
+    placed = runs.select("number", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("quota") - 1)).alias("ordinal"))
     takes = takings.join(placed, ["number", "ordinal"]).groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("__takes"))
     dealt = blocks.join(takes, ["key", "block"], "left").select(F.col("key").alias("__key"), F.col("block").alias("__block"), "source_size", "target", F.col("passes").alias("__passes"), F.col("extra").alias("__extra"), "__takes")
 
