@@ -4,8 +4,9 @@ Cosine >= c means that the unit vectors are at most sqrt(2 - 2c) = epsilon apart
 turned to principal axes, which are fitted to at most `SAMPLE` vectors of a length (the join is exact with
 any axes), and sorted by their cells of width epsilon along the leading ones. The sequence is
 cut into blocks that carry the box of their leading coordinates. A pair of blocks whose boxes
-are more than epsilon apart is skipped: blocks meet by the cells that they cover along the
-first axis, and only if their boxes are close. Inside a task the two intervals are halved and
+are more than epsilon apart is skipped: blocks meet by the cells that they cover along as many
+of the leading axes as keep the table of cells in proportion to that of blocks, in one cell of
+those that they share, and only if their boxes are close. Inside a task the two intervals are halved and
 joined recursively, with the same test, down to leaves that are compared by one product of
 matrices in double precision.
 
@@ -14,7 +15,7 @@ links and one vector that it can reach, so what leaves it follows the number of
 not that of pairs; classes are the connected components.
 
 Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components
-link with nothing; vectors of different lengths don't link, and those of each length are joined by
+link with nothing; finite ones whose squares leave the range of doubles are first divided by a power of 2; vectors of different lengths don't link, and those of each length are joined by
 themselves, with axes of their own; rows that repeat a vec_id are
 one row of the result, with the vector that has the least digest; rows with a null vec_id
 have null class and no links and are kept; an empty table gives an empty result; labels and
@@ -30,10 +31,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modspark.llm.links import Forest, classes
+from modspark.llm.totals import running
 from modspark.session import materialise, ship
 
 COSINE = 0.95
@@ -46,6 +48,10 @@ BLOCK = 4096
 LEAF = 128
 #: Vectors of a run, most of them; blocks are made of whole runs.
 RUN = 1024
+#: Rows of the table of cells for each block, on average and at most, unless one axis has more.
+CELLS = 64
+#: Components are taken as they are if the largest lies between this and its inverse.
+RANGE = 1e-100
 #: Slack for rounding in distances, far above it and far below epsilon.
 SLACK = 1e-9
 
@@ -61,7 +67,10 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, raws, h, g = [], [], [], []
         for i in np.flatnonzero(valid):
             v = values[at[i] : at[i + 1]]
-            if len(v) and np.isfinite(v).all() and np.isfinite(v @ v) and v @ v > 0:
+            top = np.abs(v).max() if len(v) else 0.0
+            if np.isfinite(top) and top > 0:
+                if not RANGE <= top <= 1 / RANGE:
+                    v = np.ldexp(v, -np.frexp(top)[1])
                 raws.append((v + 0.0).tobytes())  # -0.0 is 0.0
                 two = np.frombuffer(xxhash.xxh3_128_digest(raws[-1]), "<i8")
                 keep.append(i)
@@ -115,8 +124,9 @@ def _blocks(placed: DataFrame, axes: int, size: int) -> DataFrame:
     count = placed.agg(F.count("*").alias("n")).first()["n"]
     cut = placed.repartitionByRange(max(1, -(-count // size)), *order).sortWithinPartitions(*order)
     runs = materialise(cut.mapInArrow(_runs, "n long, low array<double>, high array<double>, reps binary, copies binary, raw binary, place binary").withColumn("run", F.monotonically_increasing_id()))
-    before = F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    numbered = runs.select("run", F.floor(before / size).alias("block"))  # a row for RUN vectors, without them
+    # Runs of a partition follow each other, and partitions by their numbers, which ids begin with.
+    placed = running(runs.select("run", "n", F.shiftright("run", 33).alias("part")), [], "part", ["run"], {"before": F.col("n")})
+    numbered = placed.select("run", F.floor(F.col("before") / size).alias("block"))  # a row for RUN vectors, without them
     return materialise(runs.join(numbered, "run").groupBy("block").applyInArrow(_merge, "block long, low array<double>, high array<double>, reps binary, copies binary, raw binary, place binary"))
 
 
@@ -200,13 +210,25 @@ def _join(cosine: float, epsilon: float):
     return run
 
 
-def _pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
+def _pairs(blocks: DataFrame, axes: int, epsilon: float) -> DataFrame:
     """Rows (x, y), x <= y, of blocks whose boxes are within epsilon of each other."""
-    wide = blocks.select("block", "low", "high", F.floor(F.col("low")[0] / epsilon).alias("first"), F.floor(F.col("high")[0] / epsilon).alias("last"))
-    own = wide.select(F.col("block").alias("x"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(F.sequence(F.col("first"), F.col("last") + 1)).alias("cell"))
-    other = wide.select(F.col("block").alias("y"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(F.col("first"), F.col("last") + 1)).alias("cell"))
-    gap = F.expr("aggregate(zip_with(zip_with(low2, high1, (a, b) -> a - b), zip_with(low1, high2, (a, b) -> a - b), (a, b) -> greatest(0.0D, a, b)), 0.0D, (s, g) -> s + g * g)")
-    return own.join(other, "cell").where((F.col("x") <= F.col("y")) & (gap <= (epsilon + SLACK) ** 2)).select("x", "y").distinct()
+    first = [F.floor(F.col("low")[k] / epsilon) for k in range(axes)]
+    last = [F.floor(F.col("high")[k] / epsilon) + 1 for k in range(axes)]  # and the next one: what is close may begin there
+    wide = blocks.select("block", "low", "high", *(c.alias(f"first{k}") for k, c in enumerate(first)), *(c.alias(f"last{k}") for k, c in enumerate(last)))
+    cells = [reduce(lambda a, b: a * b, (F.col(f"last{i}") - F.col(f"first{i}") + 1 for i in range(k + 1)), F.lit(1.0)) for k in range(axes)]
+    totals = wide.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"t{k}") for k, c in enumerate(cells))).first()
+    keys = max([1, *(k + 1 for k in range(axes) if totals["n"] and totals[f"t{k}"] <= CELLS * totals["n"])])
+
+    def side(mark: str) -> DataFrame:
+        out = wide.select(F.col("block").alias(mark), F.col("low").alias(f"low_{mark}"), F.col("high").alias(f"high_{mark}"), *(F.col(f"first{k}").alias(f"first{k}_{mark}") for k in range(keys)), *(F.col(f"last{k}").alias(f"last{k}") for k in range(keys)))
+        for k in range(keys):
+            out = out.withColumn(f"cell{k}", F.explode(F.sequence(F.col(f"first{k}_{mark}"), F.col(f"last{k}")))).drop(f"last{k}")
+        return out
+
+    names = [f"cell{k}" for k in range(keys)]
+    gap = F.expr("aggregate(zip_with(zip_with(low_y, high_x, (a, b) -> a - b), zip_with(low_x, high_y, (a, b) -> a - b), (a, b) -> greatest(0.0D, a, b)), 0.0D, (s, g) -> s + g * g)")
+    once = reduce(lambda a, b: a & b, (F.col(f"cell{k}") == F.greatest(f"first{k}_x", f"first{k}_y") for k in range(keys)))  # of the cells that two share, the least
+    return side("x").join(side("y"), names).where((F.col("x") <= F.col("y")) & once & (gap <= (epsilon + SLACK) ** 2)).select("x", "y")
 
 
 def _links(groups: DataFrame, cosine: float, epsilon: float, block: int) -> DataFrame:
@@ -214,7 +236,7 @@ def _links(groups: DataFrame, cosine: float, epsilon: float, block: int) -> Data
     centre, turned = axes([bytes(r["raw"]) for r in groups.orderBy(F.xxhash64("rep"), "rep").select("raw").limit(SAMPLE).collect()])
     placed = groups.select("rep", "copies", "raw").mapInArrow(_project(centre, turned, epsilon), "rep long, copies long, raw binary, cells array<int>, place array<double>")
     blocks = _blocks(placed, turned.shape[1], block)
-    pairs = materialise(_pairs(blocks, epsilon))
+    pairs = materialise(_pairs(blocks, turned.shape[1], epsilon))
     side = lambda k, key: blocks.select(F.col("block").alias(key), *(F.col(c).alias(f"{c}{k}") for c in ("reps", "copies", "raw", "place")))
     both = pairs.where("x < y").join(side(1, "x"), "x").join(side(2, "y"), "y")
     alone = pairs.where("x = y").join(side(1, "x"), "x").select("*", *(F.lit(None).cast("binary").alias(f"{c}2") for c in ("reps", "copies", "raw", "place")))
