@@ -80,6 +80,25 @@ def test_run_gives_whole_sequences(spark, folder):
     assert {r.ids_crc32 for r in out} >= {zlib.crc32(np.array([1], "<u4").tobytes())} or out
 
 
+def test_own_columns_keep_values_and_types(spark, folder, wide):
+    odd = wide.withColumnsRenamed({"kept": "Kept", "size": "SIZE"}).withColumn("Kept", F.lit(7)).withColumn("n_lines", F.array(F.lit("x")))
+    names = [c for c in odd.columns if c not in ("doc_id", "text")]
+    theirs = {(r.doc_id, repr(r)) for r in odd.select("doc_id", *names).collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes
+        rows_of = {(r.doc_id, repr(r)) for r in out.select("doc_id", *names).collect()}
+        assert rows_of and rows_of <= theirs
+
+
+def test_tables_of_stages_go(spark, folder):
+    from modspark import session
+
+    before = session.held()
+    corpus_pipeline.run(spark, folder).collect()
+    assert len(session.held() - before) <= 4 + 2 + len(corpus_pipeline.STAGES)
+
+
 def test_clashing_columns_and_empty_tables(spark, folder, empty, wide):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert set(stage(spark, wide, folder).columns) == {*wide.columns, *CLASHING}
