@@ -220,7 +220,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
     again = marked(some, "doc_id", meetings.select("rep"), "__may").where("__may").select("doc_id", "text").mapInArrow(_sets(size), "rep long, h long, g long, set binary")
     sets = materialise(again.join(groups.join(meetings.select("rep"), "rep", "left_semi").select("rep", "h", "g", "copies", "tops", "rests"), ["rep", "h", "g"]).select("rep", "copies", "tops", "rests", "set"))
 
-    found, left, depth, done = [], tries, longest, None
+    found, left, depth, done, everyone = [], tries, longest, None, meetings.count()
     while True:
         found.append(materialise(_round(left, sets, threshold, step * (longest - depth), done, block, weight)))
         if depth == least:
@@ -233,7 +233,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = W
             break
         done = step * (longest - depth)
         depth = least if rest["missing"] <= FEW * rest["n"] else depth - 1
-        left = tries.join(open.select("rep"), "rep", "left_semi")
+        if 2 * rest["n"] < everyone:  # a join that leaves out few isn't worth its while: what is settled is passed over anyway
+            left = materialise(tries.join(open.select("rep"), "rep", "left_semi"))
 
     known = classes(groups.select("h", "g", "rep", "copies"), reduce(DataFrame.unionByName, found).where("links > 0")).select("h", "g", "class", "links")
     out = signs.select("doc_id", "h", "g").join(known, ["h", "g"], "left")
