@@ -40,6 +40,42 @@ class InvalidTag(InvalidRecord):
     """Modification tags that contradict the grammar, the sequence or each other."""
 
 
+class InvalidBase(InvalidTag):
+    """A group of an MM tag on a letter that is no base."""
+
+
+class InvalidModType(InvalidTag):
+    """A group of an MM tag that breaks the grammar, or has no end."""
+
+
+class InvalidModCoords(InvalidTag):
+    """Numbers of skipped bases that can't be read, or that don't fit the sequence."""
+
+
+class InvalidModProbs(InvalidTag):
+    """More or fewer probabilities than calls."""
+
+
+class DuplicateMods(InvalidTag):
+    """A modification that is given twice for a strand."""
+
+
+class BadHeader(InvalidRecord):
+    """A file that isn't of its format, or files with different contigs."""
+
+
+class BadIndex(InvalidRecord):
+    """An index that can't be read."""
+
+
+class Unsorted(InvalidRecord):
+    """Records that aren't in the order that an index needs."""
+
+
+class TooLarge(InvalidOption):
+    """More than a documented limit."""
+
+
 class InvalidSummary(ModsparkError):
     """A sequencing summary that breaks its rules."""
 

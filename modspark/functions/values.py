@@ -53,4 +53,16 @@ def short_float(value: float, point: bool = False) -> str:
 
 
 def is_uuid(text: Column) -> Column:
-    return F.rlike(text, F.lit("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"))
+    """Whether a text is a random UUID (version 4), in either case."""
+    return F.rlike(text, F.lit("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-4[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$")) & (F.length(text) == 36)
+
+
+def uuid_of(digits: Column) -> Column:
+    """The version-4 UUID of 16 bytes, given as 32 hexadecimal digits: version and variant bits are set."""
+    part = lambda a, n: F.substring(digits, a, n)
+    variant = F.substring(F.lit("89ab"), (F.pmod(F.conv(part(17, 1), 16, 10).cast("int"), F.lit(4)) + 1), F.lit(1))
+    return F.lower(F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12)))
+
+
+def random_uuid() -> Column:
+    return F.expr("uuid()")

@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modspark.errors import InvalidTag, ModsparkError, shown
+from modspark.errors import DuplicateMods, InvalidBase, InvalidModCoords, InvalidModProbs, InvalidModType, InvalidTag, ModsparkError, shown
 from modspark.functions.sequence import reference_positions, reverse_complement_text
 from modspark.functions.values import code_point, mod_code
 from modspark.model import MISSING, TRACK
 from modspark.options import ModFilter
 from modspark.session import ship
 
-_GROUP = re.compile(r"([ACGTUN])([+-])([A-Za-z]|\d+)([.?]?)((?:,\d+)*)")
+#: A code is followed by its mode, by the first comma, or by nothing.
+_GROUP = re.compile(r"([ACGTUN])([+-])([A-Za-z]|[0-9]+)(?:([.?])|(?=,)|\Z)(.*)", re.DOTALL)
+_NUMBER = re.compile(r"\+?[0-9]{1,18}")
 
 
 @dataclass(frozen=True)
@@ -40,22 +42,28 @@ class Group:
 
 
 def parse_mm(text: str) -> list[Group]:
-    """Groups of an MM tag, each ended by a semicolon; an empty text has none."""
+    """Groups of an MM tag, each ended by a semicolon; an empty text has none.
+
+    Numbers may have white space around them, and entries between commas may be empty.
+    """
     if not text:
         return []
     if not text.endswith(";"):
-        raise InvalidTag(f"a group without an end: {shown(text)}")
+        raise InvalidModType(f"a group without an end: {shown(text)}")
     found = []
     for part in text[:-1].split(";"):
         m = _GROUP.fullmatch(part)
         if m is None:
-            raise InvalidTag(f"not a group: {shown(part)}")
+            raise (InvalidBase if part and part[0] not in "ACGTUN" else InvalidModType)(f"not a group: {shown(part)}")
         base, strand, code, mode, numbers = m.groups()
         try:
             code = mod_code(code)
         except ModsparkError as e:
-            raise InvalidTag(str(e)) from e
-        found.append(Group(base, strand, code, mode == "?", np.fromstring(numbers[1:], np.int64, sep=",")))
+            raise InvalidModType(str(e)) from e
+        entries = [x for x in map(str.strip, numbers.split(",")) if x]
+        if not all(map(_NUMBER.fullmatch, entries)):
+            raise InvalidModCoords(f"not a list of numbers: {shown(part)}")
+        found.append(Group(base, strand, code, mode == "?", np.array(entries, np.int64)))
     return found
 
 
@@ -125,13 +133,12 @@ def decode_record(
         good &= position(np.arange(n))
     refs, tracks = None, []
     for g in groups:
-        letter = "T" if g.base == "U" else g.base
-        candidates = np.arange(n) if g.base == "N" else np.flatnonzero(forward == ord(letter)) if g.base != "U" else np.flatnonzero((forward == ord("T")) | (forward == ord("U")))
+        candidates = np.arange(n) if g.base == "N" else np.flatnonzero(forward == ord(g.base))
         ranks = np.cumsum(g.skipped) + np.arange(len(g.skipped))
         if len(ranks) and ranks[-1] >= len(candidates):
-            raise InvalidTag(f"more calls than bases {g.base}")
+            raise InvalidModCoords(f"more calls than bases {g.base}")
         if used + len(ranks) > len(given):
-            raise InvalidTag("fewer probabilities than calls")
+            raise InvalidModProbs("fewer probabilities than calls")
         q, used = given[used : used + len(ranks)], used + len(ranks)
         at = candidates[ranks]
         keep = mods.threshold.keeps(q)
@@ -150,9 +157,9 @@ def decode_record(
             refs = np.full(n, -1, np.int64) if flag & 4 or not cigar else reference_positions(cigar, pos, n)
         tracks.append(Track(g.base, g.strand, g.code, at, refs[at], q))
     if used != len(given):
-        raise InvalidTag("more probabilities than calls")
+        raise InvalidModProbs("more probabilities than calls")
     if len({(t.strand, t.code) for t in tracks}) < len(tracks):
-        raise InvalidTag("a modification is given twice for a strand")
+        raise DuplicateMods("a modification is given twice for a strand")
     tracks.sort(key=lambda t: t.order)
     return tracks
 
@@ -183,50 +190,79 @@ def tracks_array(rows: list[list[Track] | None]) -> pa.Array:
     names = [pa.array([getattr(t, k) for t in flat], pa.string()) for k in ("base", "strand", "code")]
     points = pa.array([code_point(t.code) for t in flat], pa.int32())
     track = pa.StructArray.from_arrays([*names, points, calls], ["base", "strand", "mod_code", "mod_cp", "calls"])
-    lists = pa.ListArray.from_arrays(offsets([len(r or ()) for r in rows]), track)
-    return lists if None not in rows else pa.array([None if r is None else lists[i].as_py() for i, r in enumerate(rows)], lists.type)
+    missing = np.array([r is None for r in rows], bool)
+    return pa.ListArray.from_arrays(offsets([len(r or ()) for r in rows]), track, mask=pa.array(missing) if missing.any() else None)
+
+
+def decode_batch(batch: pa.RecordBatch, need: list[int], ml: int, mods: ModFilter, strict: bool, wanted, position) -> tuple[list[list[Track] | None], list[str | None]]:
+    """The tracks of a batch's records, and what is wrong with those that have none for that."""
+    rows, errors = [], []
+    chances = batch.column(ml)
+    if chances.null_count:
+        chances = chances.fill_null(pa.scalar([], chances.type))
+    edges, flat = np.asarray(chances.offsets), np.asarray(chances.values)
+    for i, (flag, contig, pos, cigar, seq, qual, mm, ref_end) in enumerate(zip(*(batch.column(k).to_pylist() for k in need))):
+        try:
+            found = decode_record(flag, contig, pos, cigar, seq or "", qual, mm, flat[edges[i] : edges[i + 1]], mods, wanted, position) if seq else []
+            rows.append(limit_to_region(found, mods.region, not flag & 4, contig, pos, ref_end))
+            errors.append(None)
+        except ModsparkError as e:
+            if strict:
+                raise
+            rows.append(None)
+            errors.append(f"{type(e).__name__}: {e}")
+    return rows, errors
 
 
-def _decoder(names: list[str], mods: ModFilter, strict: bool, wanted, position):
-    need = [names.index(x) for x in ("flag", "contig", "pos", "cigar", "seq", "qual", "mm", "ref_end")]
+NEEDED = ("flag", "contig", "pos", "cigar", "seq", "qual", "mm", "ref_end")
+
+
+def _decoder(names: list[str], keep: list[int], mods: ModFilter, strict: bool, wanted, position):
+    need = [names.index(x) for x in NEEDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, errors = [], []
-            chances = batch.column(names.index("ml"))
-            if chances.null_count:
-                chances = chances.fill_null(pa.scalar([], chances.type))
-            edges, flat = np.asarray(chances.offsets), np.asarray(chances.values)
-            for i, (flag, contig, pos, cigar, seq, qual, mm, ref_end) in enumerate(zip(*(batch.column(k).to_pylist() for k in need))):
-                ml = flat[edges[i] : edges[i + 1]]
-                try:
-                    found = decode_record(flag, contig, pos, cigar, seq or "", qual, mm, ml, mods, wanted, position) if seq else []
-                    rows.append(limit_to_region(found, mods.region, not flag & 4, contig, pos, ref_end))
-                    errors.append(None)
-                except ModsparkError as e:
-                    if strict:
-                        raise
-                    rows.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
+            rows, errors = decode_batch(batch, need, names.index("ml"), mods, strict, wanted, position)
             more = [tracks_array(rows)] + ([] if strict else [pa.array(errors, pa.string())])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *more], [*names, "tracks"] + ([] if strict else ["error"]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *more], [*(names[k] for k in keep), "tracks"] + ([] if strict else ["error"]))
 
     return run
 
 
-def decode(reads: DataFrame, mods: ModFilter | None = None, mode: str = "strict", wanted=None, position=None) -> DataFrame:
+def kept(rows: DataFrame, keep: tuple[str, ...] | None, inputs: tuple[str, ...]) -> tuple[DataFrame, list[int]]:
+    """rows with the columns that a kernel takes in, and which of them it gives out again: all, or those named."""
+    if keep is None:
+        return rows, list(range(len(rows.columns)))
+    rows = rows.select([c for c in rows.columns if c in keep or c in inputs])
+    return rows, [k for k, c in enumerate(rows.columns) if c in keep]
+
+
+def decode(reads: DataFrame, mods: ModFilter | None = None, mode: str = "strict", wanted=None, position=None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Adds tracks to reads (alignments that with_alignment() has completed).
 
     A read without tags has no tracks; a track all of whose calls are filtered away stays, with
     none. mode "strict" stops at the first bad record; "permissive" gives it null tracks and a
-    text in the column error. Reads without sequence have no tracks.
+    text in the column error. Reads without sequence have no tracks. keep: the columns of reads
+    that are still wanted; what goes through a kernel can't be pruned later.
     """
     ship(reads.sparkSession)
-    rows = reads.drop("tracks", "error")
-    fields = [*rows.schema.fields, T.StructField("tracks", T._parse_datatype_string(f"array<{TRACK}>"))]
+    rows, out = kept(reads.drop("tracks", "error"), keep, (*NEEDED, "ml"))
+    fields = [*(rows.schema.fields[k] for k in out), T.StructField("tracks", T._parse_datatype_string(f"array<{TRACK}>"))]
     if mode != "strict":
         fields.append(T.StructField("error", T.StringType()))
-    return rows.mapInArrow(_decoder(rows.columns, mods or ModFilter(), mode == "strict", wanted, position), T.StructType(fields))
+    return rows.mapInArrow(_decoder(rows.columns, out, mods or ModFilter(), mode == "strict", wanted, position), T.StructType(fields))
+
+
+def flat_calls(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A column of tracks as flat arrays: of each call its row, its track, its position and its probability."""
+    if lists.null_count:
+        lists = lists.fill_null(pa.scalar([], lists.type))
+    inner = lists.flatten().field("calls")
+    calls = inner.flatten()
+    sizes = np.diff(np.asarray(inner.offsets))
+    track = np.repeat(np.arange(len(inner)), sizes)
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))[track]
+    return row, track, np.asarray(calls.field("pos")).astype(np.int64), np.asarray(calls.field("qual")).astype(np.int64)
 
 
 def calls(reads: DataFrame) -> DataFrame:

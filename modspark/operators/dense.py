@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modspark.operators.decode import offsets
+from modspark.operators.decode import flat_calls, offsets
 from modspark.session import ship
 
 
@@ -19,15 +19,17 @@ def _filler(names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, sizes, parts = [], [], [np.zeros(0, np.int16)]
-            for tracks, n in zip(batch.column(at).to_pylist(), batch.column(length).to_pylist()):
-                counts.append(len(tracks or ()))
-                for t in tracks or ():
-                    row = np.zeros(n or 0, np.int16)
-                    row[[c["pos"] for c in t["calls"]]] = [c["qual"] for c in t["calls"]]
-                    parts.append(row)
-                    sizes.append(len(row))
-            rows = pa.ListArray.from_arrays(offsets(sizes), pa.array(np.concatenate(parts)))
+            lists = batch.column(at)
+            if lists.null_count:
+                lists = lists.fill_null(pa.scalar([], lists.type))
+            counts = np.diff(np.asarray(lists.offsets))
+            bases = np.asarray(batch.column(length).fill_null(0)).astype(np.int64)
+            sizes = np.repeat(bases, counts)  # of the rows of the matrix, one for each track
+            begin = np.concatenate(([0], np.cumsum(sizes)))
+            filled = np.zeros(begin[-1], np.int16)
+            _, track, pos, qual = flat_calls(lists)
+            filled[begin[track] + pos] = qual
+            rows = pa.ListArray.from_arrays(offsets(sizes), pa.array(filled))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.ListArray.from_arrays(offsets(counts), rows)], [*names, "dense"])
 
     return run

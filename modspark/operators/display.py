@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from modspark.functions.sequence import query_over_reference
 from modspark.model import MISSING
+from modspark.operators.decode import flat_calls
 from modspark.options import SeqDisplay
 from modspark.session import ship
 
@@ -46,17 +47,25 @@ def shown_sequence(flag, contig, pos, cigar, ref_end, seq: str, qual: str | None
     return out.astype(np.uint8).tobytes().decode(), ".".join(map(str, np.where(query >= 0, q[query], MISSING)))
 
 
+#: What a sequence is shown from.
+SHOWN = ("flag", "contig", "pos", "cigar", "ref_end", "seq", "qual")
+
+
 def _shower(names: list[str], display: SeqDisplay):
-    need = [names.index(x) for x in ("flag", "contig", "pos", "cigar", "ref_end", "seq", "qual")]
+    need = [names.index(x) for x in SHOWN]
     tracks = names.index("tracks") if "tracks" in names and display.show_mod_z else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(tracks).to_pylist() if tracks is not None else [None] * batch.num_rows
+            if tracks is None:
+                places, edges = np.zeros(0, np.int64), np.zeros(batch.num_rows + 1, np.int64)
+            else:
+                owner, _, pos, qual = flat_calls(batch.column(tracks))
+                places = pos[qual > 0]
+                edges = np.searchsorted(owner[qual > 0], np.arange(batch.num_rows + 1))
             shown = []
-            for *fields, seq, qual, mods in zip(*(batch.column(k).to_pylist() for k in need), marks):
-                modified = np.array([c["pos"] for t in mods or () for c in t["calls"] if c["qual"] > 0], np.int64)
-                shown.append(shown_sequence(*fields, seq or "", qual, modified, display))
+            for i, (*fields, seq, qual) in enumerate(zip(*(batch.column(k).to_pylist() for k in need))):
+                shown.append(shown_sequence(*fields, seq or "", qual, places[edges[i] : edges[i + 1]], display))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *(pa.array([s[k] for s in shown], pa.string()) for k in (0, 1))], [*names, "shown_seq", "shown_qual"])
 
     return run

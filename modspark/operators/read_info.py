@@ -13,6 +13,8 @@ from modspark.operators.alignment import with_alignment
 from modspark.operators.decode import decode
 from modspark.options import ModFilter
 
+#: What a read's JSON and the table of its calls need besides its tracks.
+DESCRIBED = ("rec_no", "read_id", "seq_len", "mapq", "read_state", "align_len", "pos", "ref_end", "contig", "tid")
 READ_JSON = "alignment_type string, alignment struct<start: int, end: int, contig: string, contig_id: int>, mod_table array<struct<base: string, is_strand_plus: boolean, mod_code: string, data: array<array<int>>>>, read_id string, mapq short, seq_len int"
 
 
@@ -59,7 +61,7 @@ def read_info(alignments: DataFrame, mods: ModFilter | None = None, detail: bool
     """Rows (rec_no, json), one for each record; without detail, counts are of likely modifications."""
     mods = mods or ModFilter()
     mods = mods if detail else mods.promoted()
-    reads = decode(with_alignment(alignments), mods)
+    reads = decode(with_alignment(alignments), mods, keep=DESCRIBED)
     return detailed(reads) if detail else condensed(reads, mods)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modspark.operators.alignment import with_alignment
 from modspark.operators.decode import counts_per_code, decode
-from modspark.operators.display import with_sequence
+from modspark.operators.display import SHOWN, with_sequence
 from modspark.options import ModFilter, SeqDisplay
 
 
@@ -50,7 +50,8 @@ def read_table(alignments: DataFrame, mods: ModFilter | None = None, display: Se
     reads = with_alignment(alignments, zero_len=True)
     columns = {"align_length": F.coalesce("align_len", F.lit(0)), "alignment_type": F.col("read_state")}
     if mods is not None:
-        reads = decode(reads, mods.promoted())
+        wanted = ("rec_no", "read_id", "seq_len", "align_len", "read_state", *(SHOWN if display.shown else ()))
+        reads = decode(reads, mods.promoted(), keep=wanted)
         columns["mod_count"] = mod_count_text()
     if display.shown:
         reads = with_sequence(reads, display)

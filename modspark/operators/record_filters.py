@@ -34,10 +34,10 @@ def by_mapq(mapq: Column, least: int, exclude_unavailable: bool) -> Column:
 
 
 def by_sample(read_id: Column, share: float, seed: int | None) -> Column:
-    """A draw for each record, or with a seed one that all records of a read share."""
+    """A draw for each record, or with a seed one that all records of a read share: 60 bits of the MD5 of id, a colon and the seed."""
     if share >= 1 or share <= 0:
         return F.lit(share >= 1)
-    draw = F.rand() if seed is None else F.shiftrightunsigned(F.xxhash64(read_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    draw = F.rand() if seed is None else F.conv(F.substring(F.md5(F.concat(read_id, F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("double") / F.lit(float(1 << 60))
     return draw < share
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modspark.errors import InvalidOption
 from modspark.functions.values import mod_code
-from modspark.operators.windows import density, gradient, over_tracks
-from modspark.options import Windowing, f32, fraction
+from modspark.operators.windows import decode_windows, density, gradient, over_tracks
+from modspark.options import ModFilter, Windowing, f32, fraction
 
 #: A condition on the least and the largest value of a read's windows.
 Condition = Callable[[Column, Column], Column]
@@ -59,15 +60,20 @@ def values_of(tag: str) -> Column:
     return F.flatten(F.transform(mine, lambda w: F.transform(w["windows"], lambda x: x["win_val"])))
 
 
-def find_reads(reads: DataFrame, windowing: Windowing, tag: str, condition: Condition | None = None, function: Callable = density, predicate: Callable[[Column], Column] | None = None) -> DataFrame:
+def find_reads(reads: DataFrame, windowing: Windowing, tag: str, condition: Condition | None = None, function: Callable = density, predicate: Callable[[Column], Column] | None = None, mods: ModFilter | None = None) -> DataFrame:
     """Rows (rec_no, read_id) of the alignments whose window values meet the condition.
 
-    predicate: any other condition, on the array of the values. One row for each alignment record, so an id may come twice. Without windows no condition is
+    reads: with tracks, or without them; then they are decoded in the same pass, and only tracks of the
+    tag. A window on which the function fails stops the query. predicate: any other condition, on the array of the values. One row for each alignment record, so an id may come twice. Without windows no condition is
     met. A slope over windows of one call is an error, before any data is read.
     """
     if function is gradient and windowing.win < 2:
         raise InvalidOption("a slope needs windows of two calls or more")
-    values = over_tracks(reads, windowing, function).select("rec_no", "read_id", values_of(tag).alias("v"))
+    if "tracks" in reads.columns:
+        windowed = over_tracks(reads, windowing, function, abort=True)
+    else:
+        windowed = decode_windows(reads, replace(mods or ModFilter(), tag=tag), windowing, function, ("rec_no", "read_id"), abort=True)
+    values = windowed.select("rec_no", "read_id", values_of(tag).alias("v"))
     met = predicate(F.col("v")) if predicate else condition(F.array_min("v"), F.array_max("v"))
     return values.where((F.size("v") > 0) & met).select("rec_no", "read_id")
 

@@ -1,7 +1,8 @@
 """Windows of a fixed number of calls along each track.
 
-Two forms give the same windows. over_tracks() works on nested tracks, a row for each read:
-numpy on Arrow batches, no shuffle, time linear in the calls. over_calls() works on a table of
+Three forms give the same windows. over_tracks() works on nested tracks, a row for each read:
+numpy on Arrow batches, no shuffle, time linear in the calls. decode_windows() decodes and makes
+windows in one such pass, so that no track crosses between the engines. over_calls() works on a table of
 single calls: running sums in one window specification, one shuffle by track, so the cost of
 a window doesn't depend on its width.
 """
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modspark.errors import EmptyWindow, InsufficientData, InvalidOption, LowDensity, ModsparkError
+from modspark.functions.values import code_point
 from modspark.model import MISSING, WINDOW_TRACK
-from modspark.operators.decode import offsets
-from modspark.options import Windowing
+from modspark.operators.decode import NEEDED, decode_batch, kept, offsets
+from modspark.options import ModFilter, Windowing
 from modspark.session import ship
 
 #: Probability from which a base counts as modified.
@@ -58,8 +60,8 @@ def density_at_least(least: float) -> Callable[[np.ndarray], np.float32]:
     return value
 
 
-def window_values(qual: np.ndarray, win: int, step: int, function) -> tuple[np.ndarray, np.ndarray]:
-    """First calls of the windows and their values; windows on which the function fails are left out."""
+def window_values(qual: np.ndarray, win: int, step: int, function, abort: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """First calls of the windows and their values; windows on which the function fails are left out, unless that is to stop everything."""
     first = np.arange(0, len(qual) - win + 1, step) if len(qual) >= win else np.zeros(0, np.int64)
     if function is density:
         total = np.concatenate(([0], np.cumsum(qual >= LIKELY)))
@@ -78,7 +80,8 @@ def window_values(qual: np.ndarray, win: int, step: int, function) -> tuple[np.n
             values.append(function(qual[i : i + win]))
             kept.append(i)
         except ModsparkError:
-            continue
+            if abort:
+                raise
     return np.array(kept, np.int64), np.array(values, np.float32)
 
 
@@ -92,7 +95,41 @@ def mean_quality(qual: str | None, start: np.ndarray, end: np.ndarray) -> np.nda
     return np.floor(-10 * np.log10(total / (end - start)) + 0.5).astype(np.int16)
 
 
-def _windower(names: list[str], windowing: Windowing, function):
+class _Found:
+    """Windows of many tracks as flat columns."""
+
+    KINDS = (pa.int32(), pa.int32(), pa.float32(), pa.int16(), pa.int32(), pa.int32())
+    NAMES = ("win_start", "win_end", "win_val", "basecall_qual", "ref_win_start", "ref_win_end")
+
+    def __init__(self, windowing: Windowing, function, abort: bool) -> None:
+        self.windowing, self.function, self.abort = windowing, function, abort
+        self.counts, self.parts = [], []
+
+    def add(self, pos: np.ndarray, ref: np.ndarray, prob: np.ndarray, qual: str | None) -> None:
+        """The windows of one track; ref: -1 where there is none, or rising."""
+        first, values = window_values(prob, self.windowing.win, self.windowing.step, self.function, self.abort)
+        self.counts.append(len(first))
+        if not len(first):
+            return
+        last = first + self.windowing.win - 1
+        start, end = pos[first], pos[last] + 1
+        known = np.flatnonzero(ref >= 0)
+        i, j = np.searchsorted(known, first), np.searchsorted(known, last, "right") - 1
+        some = i <= j
+        low, high = np.full(len(first), -1), np.full(len(first), -1)
+        low[some], high[some] = ref[known[i[some]]], ref[known[j[some]]] + 1
+        self.parts.append((start, end, values, mean_quality(qual, start, end), low, high))
+
+    def array(self) -> pa.Array:
+        """A list of windows for each track that was added."""
+        columns = [pa.array(np.concatenate([np.zeros(0), *(p[k] for p in self.parts)]).astype(kind.to_pandas_dtype()), kind) for k, kind in enumerate(self.KINDS)]
+        return pa.ListArray.from_arrays(offsets(self.counts), pa.StructArray.from_arrays(columns, self.NAMES))
+
+
+_TRACK = ("base", "strand", "mod_code", "mod_cp")
+
+
+def _windower(names: list[str], windowing: Windowing, function, abort: bool):
     at, with_qual = names.index("tracks"), names.index("qual")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,43 +145,56 @@ def _windower(names: list[str], windowing: Windowing, function):
             flat = calls.flatten()
             pos, prob = (np.asarray(flat.field(k)).astype(np.int64) for k in ("pos", "qual"))
             ref = np.asarray(flat.field("ref_pos").fill_null(-1)).astype(np.int64)
-            counts, parts = [], []
+            found = _Found(windowing, function, abort)
             for t in range(len(owner)):
-                a, b = edges[t], edges[t + 1]
-                first, values = window_values(prob[a:b], windowing.win, windowing.step, function)
-                counts.append(len(first))
-                if not len(first):
-                    continue
-                p, r = pos[a:b], ref[a:b]
-                last = first + windowing.win - 1
-                start, end = p[first], p[last] + 1
-                known = np.flatnonzero(r >= 0)  # reference positions rise along a track
-                i, j = np.searchsorted(known, first), np.searchsorted(known, last, "right") - 1
-                some = i <= j
-                low, high = np.full(len(first), -1), np.full(len(first), -1)
-                low[some], high[some] = r[known[i[some]]], r[known[j[some]]] + 1
-                parts.append((start, end, values, mean_quality(quals[owner[t]], start, end), low, high))
-            kinds = (pa.int32(), pa.int32(), pa.float32(), pa.int16(), pa.int32(), pa.int32())
-            columns = [pa.array(np.concatenate([np.zeros(0), *(p[k] for p in parts)]).astype(kind.to_pandas_dtype()), kind) for k, kind in enumerate(kinds)]
-            window = pa.StructArray.from_arrays(columns, ["win_start", "win_end", "win_val", "basecall_qual", "ref_win_start", "ref_win_end"])
-            windows = pa.ListArray.from_arrays(offsets(counts), window)
-            track = pa.StructArray.from_arrays([*(tracks.field(k) for k in ("base", "strand", "mod_code", "mod_cp")), windows], ["base", "strand", "mod_code", "mod_cp", "windows"])
+                one = slice(edges[t], edges[t + 1])
+                found.add(pos[one], ref[one], prob[one], quals[owner[t]])
+            track = pa.StructArray.from_arrays([*(tracks.field(k) for k in _TRACK), found.array()], [*_TRACK, "windows"])
             out = pa.ListArray.from_arrays(offsets(np.diff(np.asarray(lists.offsets))), track)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), out], [*names, "windows"])
 
     return run
 
 
-def over_tracks(reads: DataFrame, windowing: Windowing, function: Callable = density) -> DataFrame:
+def over_tracks(reads: DataFrame, windowing: Windowing, function: Callable = density, abort: bool = False) -> DataFrame:
     """Adds windows to reads with tracks: for each track its windows, also where there are none.
 
     function: density, gradient, density_at_least(x), or any callable from an array of
-    probabilities to a number; a window on which it raises one of this package's errors is skipped.
+    probabilities to a number; a window on which it raises one of this package's errors is
+    skipped, or with abort stops the query.
     """
     ship(reads.sparkSession)
     rows = reads.drop("windows")
     schema = T.StructType([*rows.schema.fields, T.StructField("windows", T._parse_datatype_string(f"array<{WINDOW_TRACK}>"))])
-    return rows.mapInArrow(_windower(rows.columns, windowing, function), schema)
+    return rows.mapInArrow(_windower(rows.columns, windowing, function, abort), schema)
+
+
+def _both(names: list[str], keep: list[int], mods: ModFilter, windowing: Windowing, function, abort: bool, wanted, position):
+    need, ml, with_qual = [names.index(x) for x in NEEDED], names.index("ml"), names.index("qual")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, _ = decode_batch(batch, need, ml, mods, True, wanted, position)
+            quals = batch.column(with_qual).to_pylist()
+            found, flat = _Found(windowing, function, abort), []
+            for qual, tracks in zip(quals, rows):
+                for t in tracks:
+                    found.add(t.pos, t.ref, t.qual, qual)
+                    flat.append((t.base, t.strand, t.code, code_point(t.code)))
+            names_of = [pa.array([x[k] for x in flat], pa.int32() if k == 3 else pa.string()) for k in range(4)]
+            track = pa.StructArray.from_arrays([*names_of, found.array()], [*_TRACK, "windows"])
+            out = pa.ListArray.from_arrays(offsets([len(r) for r in rows]), track)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), out], [*(names[k] for k in keep), "windows"])
+
+    return run
+
+
+def decode_windows(reads: DataFrame, mods: ModFilter | None, windowing: Windowing, function: Callable = density, keep: tuple[str, ...] | None = ("rec_no", "read_id", "contig", "strand"), abort: bool = False, wanted=None, position=None) -> DataFrame:
+    """over_tracks(decode(reads, mods)) in one pass, without the tracks; keep: the columns of reads that are still wanted, or None for all."""
+    ship(reads.sparkSession)
+    rows, out = kept(reads.drop("tracks", "windows"), keep, (*NEEDED, "ml"))
+    schema = T.StructType([*(rows.schema.fields[k] for k in out), T.StructField("windows", T._parse_datatype_string(f"array<{WINDOW_TRACK}>"))])
+    return rows.mapInArrow(_both(rows.columns, out, mods or ModFilter(), windowing, function, abort, wanted, position), schema)
 
 
 def window_table(windowed: DataFrame) -> DataFrame:
@@ -170,18 +220,18 @@ def window_table(windowed: DataFrame) -> DataFrame:
     )
 
 
-def over_calls(calls: DataFrame, windowing: Windowing, keys: tuple[str, ...] = ("rec_no", "track_no"), kind: str = "density", single: bool = True) -> DataFrame:
+def over_calls(calls: DataFrame, windowing: Windowing, keys: tuple[str, ...] = ("rec_no", "track_no"), kind: str = "density", single: bool = True, order: str = "idx") -> DataFrame:
     """Rows (keys, idx, win_start, win_end, win_val) from rows (keys, idx, pos, qual) of calls.
 
-    single: values as single precision, as over_tracks() gives them, or else as double.
+    order: a column with the same order as idx, by which rows may be sorted already. single: values as single precision, as over_tracks() gives them, or else as double.
     """
     win, step = windowing.win, windowing.step
     if kind == "gradient" and win < 2:
         raise InvalidOption("a slope needs windows of two calls or more")
-    along = Window.partitionBy(*keys).orderBy("idx")
+    along = Window.partitionBy(*keys).orderBy(order)
     running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     y = (F.col("qual") >= LIKELY).cast("long")
-    summed = calls.select(*keys, "idx", "pos", y.alias("y"), F.sum(y).over(running).alias("s"), F.sum(y * (F.col("idx") + 1)).over(running).alias("t"))
+    summed = calls.select(*dict.fromkeys((*keys, "idx", "pos", order)), y.alias("y"), F.sum(y).over(running).alias("s"), F.sum(y * (F.col("idx") + 1)).over(running).alias("t"))
     last = lambda c: F.lead(c, win - 1).over(along)
     n = last("s") - F.col("s") + F.col("y")
     if kind == "density":

@@ -2,7 +2,7 @@ import json
 import random
 
 import pytest
-from samples import A48, FOUR, IMPLICIT, INDEL, QUALITIES, ZERO, line, write
+from samples import FORTY, FOUR, IMPLICIT, INDEL, QUALITIES, ZERO, line, write
 
 from modspark import format as text
 from modspark.errors import InvalidOption, InvalidSummary
@@ -26,26 +26,26 @@ def test_read_table(spark, tmp_path):
     assert table(spark, tmp_path, FOUR, mods=ModFilter()) == [
         "# mod-unmod threshold is 0.5",
         "read_id\talign_length\tsequence_length_template\talignment_type\tmod_count",
-        "read-a\t8\t8\tprimary_forward\tT:0",
-        "read-b\t48, 0\t48\tprimary_forward, unmapped\tNA, T:3;7200:0",
-        "read-c\t33\t33\tprimary_reverse\tT:1",
+        "read-a\t10\t10\tprimary_forward\tm:0",
+        "read-b\t40, 0\t40\tprimary_forward, unmapped\tNA, m:2;4321:0",
+        "read-c\t24\t24\tprimary_reverse\tm:2",
     ]
-    assert table(spark, tmp_path, ZERO)[1:] == ["read1\t8\t0\tprimary_forward", "read2\t48\t48\tprimary_forward"]
-    assert table(spark, tmp_path, ZERO, mods=ModFilter())[2:] == ["read1\t8\t0\tprimary_forward\tNA", "read2\t48\t48\tprimary_forward\tNA"]
+    assert table(spark, tmp_path, ZERO)[1:] == ["read1\t8\t0\tprimary_forward", "read2\t40\t40\tprimary_forward"]
+    assert table(spark, tmp_path, ZERO, mods=ModFilter())[2:] == ["read1\t8\t0\tprimary_forward\tNA", "read2\t40\t40\tprimary_forward\tNA"]
 
 
 def test_sequences(spark, tmp_path):
     def shown(records, **display):
         return [x.split("\t")[4:] for x in table(spark, tmp_path, records, display=SeqDisplay(**display))[1:]]
 
-    assert shown(QUALITIES, full=True, show_base_qual=True) == [["TCGTTTCT", "32.0.69.80.79.81.29.30"]]
-    assert shown(QUALITIES, region=("dummyI", 10, 12), show_base_qual=True) == [["CG", "0.69"]]
-    assert shown(QUALITIES, region=("dummyII", 10, 12), show_base_qual=True) == [["*", "255"]]
-    assert shown(INDEL, region=("dummyI", 0, 22)) == [["T..ATTTGT"]]
-    assert shown(INDEL, region=("dummyI", 0, 22), show_ins_lowercase=True) == [["T..aTTTGT"]]
+    assert shown(QUALITIES, full=True, show_base_qual=True) == [["ACCTGCAC", "28.0.50.15.32.53.2.42"]]
+    assert shown(QUALITIES, region=("north", 22, 25), show_base_qual=True) == [["CTG", "50.15.32"]]
+    assert shown(QUALITIES, region=("south", 22, 25), show_base_qual=True) == [["*", "255"]]
+    assert shown(INDEL, region=("north", 0, 22)) == [["CA.TCCGAC"]]
+    assert shown(INDEL, region=("north", 0, 22), show_ins_lowercase=True) == [["CA.tcCGAC"]]
     assert shown(ZERO, full=True, show_base_qual=True)[0] == ["*", "255"]
-    z = [line("r", 0, "dummyI", 1, 0, "1M1I2M", "ACCC", "*", "C+m?,0,0;", (200, 210))]
-    out = table(spark, tmp_path, z, mods=ModFilter(), display=SeqDisplay(region=("dummyI", 0, 22), show_mod_z=True, show_ins_lowercase=True, show_base_qual=True))
+    z = [line("r", 0, "north", 1, 0, "1M1I2M", "ACCC", "*", "C+m?,0,0;", (200, 210))]
+    out = table(spark, tmp_path, z, mods=ModFilter(), display=SeqDisplay(region=("north", 0, 22), show_mod_z=True, show_ins_lowercase=True, show_base_qual=True))
     assert out[-1].split("\t")[4:] == ["m:2", "AzZC", "255.255.255.255"]
 
 
@@ -54,7 +54,7 @@ def test_summary(spark, tmp_path):
     path.write_text("# a comment\nread_id\tsequence_length_template\tother\nread-a\t8\t0\n\nread-c\t99\t1\nread-x\t5\t2\n")
     out = read_table.read_table(load(spark, tmp_path, FOUR), None, None, tables.sequencing_summary(spark, str(path)))
     assert text.sorted_lines(text.read_table_tsv(out, "summary")) == [
-        "# seq summ file: summary", "read_id\talign_length\tsequence_length_template\talignment_type", "read-a\t8\t8\tprimary_forward", "read-c\t33\t99\tprimary_reverse",
+        "# seq summ file: summary", "read_id\talign_length\tsequence_length_template\talignment_type", "read-a\t10\t8\tprimary_forward", "read-c\t24\t99\tprimary_reverse",
     ]
     for bad in ("", "\nread_id\tsequence_length_template\nx\t1\n", "read_id\tx\na\t1\n", "read_id\tread_id\tsequence_length_template\na\tb\t1\n", "read_id\tsequence_length_template\n", "#c\n" * 1001 + "read_id\tsequence_length_template\na\t1\n"):
         path.write_text(bad)
@@ -114,9 +114,9 @@ def test_read_statistics(spark, tmp_path):
     out = {r.key: r.value for r in read_stats.read_stats(load(spark, tmp_path, FOUR)).collect()}
     assert set(out) == set(read_stats.KEYS)
     assert [out[k] for k in read_stats.COUNTS] == [3, 0, 0, 1, 1]
-    assert (out["align_len_mean"], out["align_len_median"], out["seq_len_median"]) == (29, 8, plain_stats([8, 48, 33, 21])[3])
+    assert (out["align_len_mean"], out["align_len_median"], out["seq_len_median"]) == (24, 10, plain_stats([10, 40, 24, 14])[3])
     only = {r.key: r.value for r in read_stats.read_stats(load(spark, tmp_path, FOUR[3:])).collect()}
-    assert only["align_len_n50"] == 0 and only["seq_len_max"] == 21
+    assert only["align_len_n50"] == 0 and only["seq_len_max"] == 14
     with pytest.raises(Exception, match="length 0"):
         read_stats.read_stats(load(spark, tmp_path, ZERO)).collect()
 
@@ -125,19 +125,19 @@ def test_read_info(spark, tmp_path):
     rows = load(spark, tmp_path, FOUR)
     out = json.loads("\n".join(text.json_array(read_info.read_info(rows))))
     assert out[0] == {
-        "read_id": "read-a", "sequence_length": 8, "mapq": 255, "contig": "dummyI", "reference_start": 9, "reference_end": 17, "alignment_length": 8, "alignment_type": "primary_forward",
-        "mod_count": "T+T:0;(probabilities >= 0.5020, PHRED base qual >= 0)",
+        "read_id": "read-a", "sequence_length": 10, "mapq": 40, "contig": "north", "reference_start": 5, "reference_end": 15, "alignment_length": 10, "alignment_type": "primary_forward",
+        "mod_count": "C+m:0;(probabilities >= 0.5020, PHRED base qual >= 0)",
     }
     assert out[1]["mod_count"] == "NA" and "contig" not in out[3]
-    assert out[3]["mod_count"] == "G-7200:0;T+T:3;(probabilities >= 0.5020, PHRED base qual >= 0)"
+    assert out[3]["mod_count"] == "C+m:2;G-4321:0;(probabilities >= 0.5020, PHRED base qual >= 0)"
     detail = read_info.read_info(rows, detail=True)
-    assert detail.orderBy("rec_no").first().json == '{"alignment_type":"primary_forward","alignment":{"start":9,"end":17,"contig":"dummyI","contig_id":0},"mod_table":[{"base":"T","is_strand_plus":true,"mod_code":"T","data":[[0,9,4],[3,12,7],[4,13,9],[7,16,6]]}],"read_id":"read-a","mapq":255,"seq_len":8}'
+    assert detail.orderBy("rec_no").first().json == '{"alignment_type":"primary_forward","alignment":{"start":5,"end":15,"contig":"north","contig_id":0},"mod_table":[{"base":"C","is_strand_plus":true,"mod_code":"m","data":[[2,7,12],[3,8,30],[8,13,55]]}],"read_id":"read-a","mapq":40,"seq_len":10}'
     assert "".join(text.json_array(detail.where("false"))) == "[]"
     assert len("\n".join(text.json_array(detail, True)).splitlines()) > 100
     back = read_info.from_json(detail).select("read_id", "flag", "pos", "tracks")
     reads = decode(with_alignment(rows)).select("read_id", "flag", "pos", "tracks").withColumn("pos", __import__("pyspark").sql.functions.expr("if(flag = 4, null, pos)"))
     assert sorted(map(repr, back.collect())) == sorted(map(repr, reads.collect()))
-    assert read_info.reads_table(decode(with_alignment(rows))).count() == 20
+    assert read_info.reads_table(decode(with_alignment(rows))).count() == 13
 
 
 def test_json_checks(spark):
@@ -161,8 +161,8 @@ def test_peek(spark, tmp_path):
     path = write(tmp_path, FOUR)
     rows = sam.read_sam(spark, path)
     lines = list(text.peek_text(peek.contig_rows(sam.contigs(spark, path)), peek.modifications(rows)))
-    assert lines == ["contigs_and_lengths:", "dummyI\t22", "dummyII\t48", "dummyIII\t76", "", "modifications:", "G-7200", "T+T"]
-    assert [r.modification for r in peek.modifications(rows, 3).collect()] == ["T+T"]
+    assert lines == ["contigs_and_lengths:", "north\t30", "south\t60", "west\t90", "", "modifications:", "C+m", "G-4321"]
+    assert [r.modification for r in peek.modifications(rows, 3).collect()] == ["C+m"]
     assert list(text.peek_text(peek.contig_rows(sam.contigs(spark, path)), peek.modifications(load(spark, tmp_path, ZERO))))[-1] == "None"
     for n in (0, 100_001):
         with pytest.raises(InvalidOption):
@@ -175,4 +175,4 @@ def test_peek(spark, tmp_path):
 def test_text_helpers():
     assert text.sorted_lines("#h\nb\na") == ["#h", "a", "b"]
     assert text.sorted_lines("read_id\tx\nb\na") == ["read_id\tx", "a", "b"]
-    assert len(A48) == 48 and len(IMPLICIT) == 3
+    assert len(FORTY) == 40 and len(IMPLICIT) == 3
