@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +16,6 @@ from modspark import session, simulate
 from modspark.errors import ModsparkError
 from modspark.operators import peek, read_info, read_stats, read_table, record_filters, selection, windows
 from modspark.operators.alignment import with_alignment
-from modspark.operators.decode import decode
 from modspark.options import ModFilter, ReadFilter, Region, SeqDisplay, Threshold, Windowing, read_states
 from modspark.sources import bam, files, sam, tables
 
@@ -23,14 +24,14 @@ _NO_INDEX = "# cannot find index file. region retrieval could be slower."
 
 @dataclass
 class Source:
-    """An alignment file: its contigs, and its rows on one contig or all."""
+    """An alignment file, SAM or BAM by its content: its contigs, and its rows over an interval or all."""
 
     spark: SparkSession
     path: str
 
-    @property
+    @cached_property
     def is_sam(self) -> bool:
-        return self.path.endswith(".sam")
+        return not files.is_bam(self.path)
 
     def contigs(self) -> DataFrame:
         return sam.contigs(self.spark, self.path) if self.is_sam else bam.contigs(self.spark, self.path)
@@ -41,8 +42,11 @@ class Source:
     def indexed(self) -> bool:
         return not self.is_sam and files.exists(f"{self.path}.bai")
 
-    def rows(self, contig: str | None = None) -> DataFrame:
-        return sam.read_sam(self.spark, self.path) if self.is_sam else bam.read_bam(self.spark, self.path, contig)
+    def rows(self, region: tuple[str, int, int] | None = None) -> DataFrame:
+        if self.is_sam:
+            return sam.read_sam(self.spark, self.path)
+        contig, start, end = region or (None, 0, None)
+        return bam.read_bam(self.spark, self.path, contig, start=start, end=end)
 
 
 def _add_input(p: argparse.ArgumentParser) -> None:
@@ -145,14 +149,22 @@ def run(spark: SparkSession, a: argparse.Namespace) -> Iterable[str]:
             config = simulate.SimulationConfig.parse(f.read())
         simulate.run(spark, config, a.bam, a.fasta)
         return
-    source = Source(spark, files.staged(a.file))
+    source = Source(spark, path := files.staged(a.file))
+    try:
+        yield from _answer(spark, a, source)
+    finally:
+        if path != a.file:
+            os.remove(path)
+
+
+def _answer(spark: SparkSession, a: argparse.Namespace, source: Source) -> Iterable[str]:
     lengths = source.lengths()
     options = ReadFilter(
         a.min_seq_len, a.min_align_len, a.read_id, None, a.read_id_list, a.include_zero_len, a.read_filter, a.sample_fraction, a.sample_seed, a.mapq_filter, a.exclude_mapq_unavail, a.region, a.full_region
     ).bound(lengths)
     if options.region is not None and not source.indexed():
         yield _NO_INDEX
-    rows = record_filters.filter_reads(source.rows(options.region and options.region[0]), options)
+    rows = record_filters.filter_reads(source.rows(options.region), options)
     if a.command.startswith("read-table"):
         mods = _mods(a, lengths) if a.command.endswith("show-mods") else None
         display = SeqDisplay(a.seq_full, a.seq_region, a.show_base_qual, a.show_ins_lowercase, getattr(a, "show_mod_z", False)).bound(lengths)
@@ -168,16 +180,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> Iterable[str]:
     elif a.command == "peek":
         yield from text.peek_text(peek.contig_rows(source.contigs()), peek.modifications(rows))
     else:
-        reads, windowing = decode(with_alignment(rows), _mods(a, lengths)), Windowing(a.win, a.step)
+        reads, mods, windowing = with_alignment(rows), _mods(a, lengths), Windowing(a.win, a.step)
         slope = a.command == "window-grad" or getattr(a, "find", "") == "any-abs-grad-above"
         function = windows.gradient if slope else windows.density
         if a.command == "find-modified-reads":
             numbers, make = FIND[a.find]
             given = [float(x) for n in numbers for x in str(getattr(a, n.replace("-", "_"))).split(",")]
-            found = selection.find_reads(reads, windowing, a.tag, make(*given), function)
+            found = selection.find_reads(reads, windowing, a.tag, make(*given), function, mods=mods)
             yield from (r["read_id"] for r in found.orderBy("rec_no").toLocalIterator())
         else:
-            yield from text.windows_tsv(windows.window_table(windows.over_tracks(reads, windowing, function)))
+            yield from text.windows_tsv(windows.window_table(windows.decode_windows(reads, mods, windowing, function)))
 
 
 def main(args: list[str] | None = None) -> int:

@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modspark.errors import InvalidOption, shown
+from modspark.errors import InvalidOption, TooLarge, shown
 from modspark.functions.sequence import reverse_complement_text
 from modspark.functions.values import mod_code, to_u8
 from modspark.model import ALIGNMENT_COLUMNS, ALIGNMENTS, CONTIGS, STATES
 from modspark.options import fraction
-from modspark.session import ship
+from modspark.session import materialise, ship
+
+
+#: Bases of all contigs, which every worker holds.
+MOST_BASES = 1 << 28
 
 
 def _bases(text: str | None) -> str | None:
@@ -217,18 +221,26 @@ def _maker(config: ReadConfig, group: int, contigs: list[tuple[str, str]], seed:
 def simulate(spark: SparkSession, config: SimulationConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Alignments, contigs, and sequences (name, seq) of the contigs.
 
-    Alignments are sorted by (unmapped, contig, place, strand), and rec_no counts in that order.
-    Without a seed each call gives other reads; with one they are the same on each evaluation.
+    Alignments are sorted by (unmapped, contig, place, strand), and rec_no counts in that order:
+    inside the ranges that the sort makes, and on from the ranges before. They are a table in the shared folder.
+    Without a seed each call gives other reads; with one always the same.
     """
     ship(spark)
+    if config.contigs.number * config.contigs.len_range[1] > MOST_BASES:
+        raise TooLarge(f"contigs of more than {MOST_BASES} bases")
     seed = int(np.random.SeedSequence().entropy % (1 << 63)) if config.seed is None else config.seed
     sequences = contig_sequences(config.contigs, seed)
     parts = [spark.range(r.number).mapInArrow(_maker(r, g, sequences, seed), ALIGNMENTS) for g, r in enumerate(config.reads)]
     rows = parts[0] if parts else spark.createDataFrame([], ALIGNMENTS)
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    order = Window.orderBy(F.col("flag") == 4, "tid", "pos", F.col("flag").bitwiseAND(16) != 0, "read_id")
-    rows = rows.withColumn("rec_no", F.row_number().over(order).cast("long") - 1)
+    order = (F.col("flag") == 4, "tid", "pos", F.col("flag").bitwiseAND(16) != 0, "read_id")
+    placed = materialise(rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__start"))  # a row for each range
+    rows = placed.withColumn("__part", part).join(starts, "__part").withColumn("rec_no", F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1))
     contigs = spark.createDataFrame([(k, n, len(s)) for k, (n, s) in enumerate(sequences)], CONTIGS)
     return rows.select(*ALIGNMENT_COLUMNS), contigs, spark.createDataFrame(sequences, "name string, seq string")
 

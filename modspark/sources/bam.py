@@ -1,9 +1,10 @@
 """BAM files as a Spark data source, split at BGZF blocks, with or without an index.
 
 Records carry rec_no, their virtual offset in the file, so that order is known although splits
-are read apart. Where an index (.bai) lies beside the file, a condition on the contig restricts
-what is read to the index's chunks of it; the condition itself is always checked again by Spark.
-Without one, a split begins at the first place where several records in a row are plausible.
+are read apart; with several files, their number comes first. Where an index (.bai) lies beside a
+file, a condition on the contig, or an interval of it, restricts what is read to the index's chunks
+that may overlap it, cut into splits again. Without one, and inside a chunk, a split begins at the
+first place where several records in a row are plausible.
 """
 
 from __future__ import annotations
@@ -13,16 +14,24 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
-from modspark.errors import InvalidRecord
+from modspark.errors import BadHeader, BadIndex, InvalidRecord, TooLarge
 from modspark.model import ALIGNMENTS, CONTIGS
 from modspark.sources import files
 
 SPLIT = 32 << 20
-#: Largest record that is read.
-LARGEST = 1 << 28
+#: Largest record that is read: what the format's own length field may say.
+LARGEST = (1 << 31) - 1
+#: Records of an Arrow batch, and bytes of them, about.
+ROWS, BYTES = 1024, 4 << 20
+#: Bytes between chunks that are read over rather than sought.
+NEAR = 1 << 16
+#: Bits of rec_no that a place in a file has when there are several.
+PLACE = 56
+_FIXED = struct.Struct("<iiBBHHHi")
 _SEQ = "=ACMGRSVTWYHKDBN"
 _CIGAR = "MIDNSHP=X"
 _PAIRS = [a + b for a in _SEQ for b in _SEQ]
@@ -110,7 +119,7 @@ def header(path: str) -> tuple[list[tuple[str, int]], int]:
     with files.opened(path) as f:
         b = Blocks(f, 0)
         if b.take(4) != b"BAM\x01":
-            raise InvalidRecord("not a BAM file")
+            raise BadHeader("not a BAM file")
         b.take(struct.unpack("<i", b.take(4))[0])
         found = []
         for _ in range(struct.unpack("<i", b.take(4))[0]):
@@ -229,36 +238,70 @@ class Split(InputPartition):
     exact: bool
 
 
-def index_chunks(path: str, tid: int) -> list[tuple[int, int]]:
-    """The index's chunks (virtual offsets) of one contig, merged."""
+def bins_over(start: int, end: int) -> set[int]:
+    """The bins of the binning index that an interval's records may be in."""
+    found = {0}
+    for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        found.update(range(first + (start >> shift), first + (min(end, 1 << 29) - 1 >> shift) + 1))
+    return found
+
+
+def index_chunks(path: str, tid: int, start: int = 0, end: int = 1 << 29) -> list[tuple[int, int]]:
+    """The index's chunks (virtual offsets) of an interval of a contig, merged where they are near each other."""
     with files.opened(path) as f:
         raw = f.read()
     if raw[:4] != b"BAI\x01":
-        raise InvalidRecord("not an index")
-    k, found = 8, []
+        raise BadIndex("not an index")
+    k, found, least = 8, [], 0
+    over = bins_over(start, end) if end - start < 1 << 28 else None
     for ref in range(struct.unpack_from("<i", raw, 4)[0]):
         bins = struct.unpack_from("<i", raw, k)[0]
         k += 4
         for _ in range(bins):
             number, chunks = struct.unpack_from("<Ii", raw, k)
             k += 8
-            if ref == tid and number != 37450:
+            if ref == tid and number != 37450 and (over is None or number in over):
                 found += [struct.unpack_from("<QQ", raw, k + 16 * c) for c in range(chunks)]
             k += 16 * chunks
-        k += 4 + 8 * struct.unpack_from("<i", raw, k)[0]
+        windows = struct.unpack_from("<i", raw, k)[0]
+        if ref == tid and windows:
+            at = start >> 14
+            least = struct.unpack_from("<Q", raw, k + 4 + 8 * at)[0] if at < windows else 0
+        k += 4 + 8 * windows
     merged: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if merged and a <= merged[-1][1]:
+    for a, b in sorted((max(a, least), b) for a, b in found if b > least):
+        if merged and a >> 16 <= (merged[-1][1] >> 16) + NEAR:
             merged[-1] = merged[-1][0], max(b, merged[-1][1])
         else:
             merged.append((a, b))
     return merged
 
 
+@dataclass
+class Split(InputPartition):
+    """Records of a file from start on, before end.
+
+    exact: start is a virtual offset of a record, or else of a block; ordered: they are sorted by place.
+    """
+
+    file: int
+    start: int
+    end: int
+    exact: bool
+    ordered: bool = False
+
+
 class BamReader(DataSourceReader):
-    def __init__(self, path: str, split: int) -> None:
-        self.path, self.split, self.contig = path, split, None
-        self.contigs, self.first = header(path)
+    def __init__(self, paths: str | list[str], split: int, interval: tuple[str, int, int | None] | None = None) -> None:
+        paths = [paths] if isinstance(paths, str) else paths
+        if len(paths) > 1 << 63 - PLACE:
+            raise TooLarge("too many files")
+        self.paths, self.split = paths, split
+        self.interval, self.contig = interval, interval[0] if interval else None
+        self.contigs, self.first = header(paths[0])
+        self.firsts = [self.first] + [f for c, f in map(header, paths[1:]) if c == self.contigs]
+        if len(self.firsts) < len(paths):
+            raise BadHeader("files with other contigs")
 
     def pushFilters(self, filters):
         for f in filters:
@@ -266,49 +309,93 @@ class BamReader(DataSourceReader):
                 self.contig = f.value
             yield f  # Spark checks all of them again
 
+    def bounds(self) -> tuple[int, int]:
+        _, start, end = self.interval or (None, 0, None)
+        return start, 1 << 31 if end is None else end
+
     def partitions(self) -> list[Split]:
         names = [c for c, _ in self.contigs]
-        if self.contig is not None:
-            if self.contig not in names:
-                return [Split(0, 0, True)]
-            if files.exists(f"{self.path}.bai"):
-                return [Split(a, b, True) for a, b in index_chunks(f"{self.path}.bai", names.index(self.contig))] or [Split(0, 0, True)]
-        total, first = files.size(self.path), self.first >> 16
-        cuts = [first, *range(first + self.split, total, self.split), total]
-        return [Split(self.first if a == first else a, b << 16, a == first) for a, b in zip(cuts, cuts[1:])]
-
-    def read(self, split: Split) -> Iterator[tuple]:
+        none = [Split(0, 0, 0, True)]
+        if (self.contig is not None and self.contig not in names) or (self.interval and self.contig != self.interval[0]):
+            return none
+        found = []
+        for k, path in enumerate(self.paths):
+            if self.contig is not None and files.exists(f"{path}.bai"):
+                for a, b in index_chunks(f"{path}.bai", names.index(self.contig), *self.bounds()):
+                    found += self.cut(k, a, b, True)
+            else:
+                found += self.cut(k, self.firsts[k], files.size(path) << 16)
+        return found or none
+
+    def cut(self, file: int, start: int, end: int, ordered: bool = False) -> list[Split]:
+        """Splits of a run of records, whose first place is a record's."""
+        cuts = [start, *(x << 16 for x in range((start >> 16) + self.split, end >> 16, self.split)), end]
+        return [Split(file, a, b, a == start, ordered) for a, b in zip(cuts, cuts[1:])]
+
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         if split.start >= split.end:
             return
-        names = [c for c, _ in self.contigs]
-        with files.opened(self.path) as f:
+        names, tid = [c for c, _ in self.contigs], None
+        start, end = self.bounds()
+        if self.interval:
+            tid = names.index(self.interval[0])
+        held, size, number = [], 0, split.file << PLACE
+        with files.opened(self.paths[split.file]) as f:
             if split.exact:
                 b = Blocks(f, split.start >> 16)
                 b.more()
                 b.place = split.start & 0xFFFF
             else:
-                start = first_block(f, split.start, split.end >> 16)
-                if start is None:
+                last = -(-split.end >> 16)  # past the last block that may hold one
+                at = first_block(f, split.start >> 16, last)
+                if at is None:
                     return
-                b = Blocks(f, start)
-                if not seek_record(b, split.end >> 16, len(names)):
+                b = Blocks(f, at)
+                if not seek_record(b, last, len(names)):
                     return
             while True:
                 at = b.offset()
                 if at >= split.end:
-                    return
+                    break
                 length = b.take(4)
                 if length is None:
-                    return
+                    break
                 raw = b.take(struct.unpack("<i", length)[0])
                 if raw is None:
                     raise InvalidRecord("a record is cut off")
-                yield record(raw, at, names)
                 b.trim()
+                if tid is not None and not overlaps(raw, tid, start, end):
+                    if split.ordered and _FIXED.unpack_from(raw, 0)[:2] >= (tid, end):
+                        break
+                    continue
+                held.append(record(raw, number | at, names))
+                size += len(raw)
+                if len(held) >= ROWS or size >= BYTES:
+                    yield batch(held)
+                    held, size = [], 0
+        if held:
+            yield batch(held)
+
+
+def overlaps(raw: bytes, tid: int, start: int, end: int) -> bool:
+    """Whether a record lies over an interval of a contig; one that covers nothing counts as a base long."""
+    own, pos, name, _, _, runs, _, _ = _FIXED.unpack_from(raw, 0)
+    if own != tid or pos >= end:
+        return False
+    span = sum(x >> 4 for x in struct.unpack_from(f"<{runs}I", raw, 32 + name) if x & 15 in (0, 2, 3, 7, 8))
+    return pos + max(span, 1) > start
+
+
+_KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "short": pa.int16(), "array<short>": pa.list_(pa.int16())}
+_SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (x.split(" ") for x in ALIGNMENTS.split(", "))])
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
 
 class ModBam(DataSource):
-    """format("modbam"): option path, and split for the bytes of a partition."""
+    """format("modbam"): option path, one or more by line; split for the bytes of a partition; contig, start and end for an interval."""
 
     @classmethod
     def name(cls) -> str:
@@ -318,19 +405,22 @@ class ModBam(DataSource):
         return ALIGNMENTS
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options["path"], int(self.options.get("split", SPLIT)))
+        o = self.options
+        interval = (o["contig"], int(o.get("start", 0)), int(o["end"]) if "end" in o else None) if "contig" in o else None
+        return BamReader(o["path"].split("\n"), int(o.get("split", SPLIT)), interval)
 
 
 def contigs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(k, n, m) for k, (n, m) in enumerate(header(path)[0])], CONTIGS)
 
 
-def read_bam(spark: SparkSession, path: str, contig: str | None = None, split: int = SPLIT) -> DataFrame:
-    """Alignments of a BAM file; contig: only those on it, by the index if there is one."""
+def read_bam(spark: SparkSession, path: str | list[str], contig: str | None = None, split: int = SPLIT, start: int = 0, end: int | None = None) -> DataFrame:
+    """Alignments of BAM files with the same contigs; contig, start, end: only those over that interval, by the index if there is one."""
     from modspark.session import ship
 
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ModBam)
-    rows = spark.read.format("modbam").option("split", split).load(path)
+    options = {"split": split} | ({} if contig is None else {"contig": contig, "start": start}) | ({} if end is None else {"end": end})
+    rows = spark.read.format("modbam").options(**options).load(path if isinstance(path, str) else "\n".join(path))
     return rows if contig is None else rows.where(rows["contig"] == contig)

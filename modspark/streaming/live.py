@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 from modspark.model import ALIGNMENTS
 from modspark.operators import record_filters, windows
 from modspark.operators.alignment import with_alignment
-from modspark.operators.decode import decode
 from modspark.options import ModFilter, ReadFilter, Windowing
 from modspark.sources import sam
 
 
 def sam_stream(spark: SparkSession, folder: str, contigs: DataFrame) -> DataFrame:
-    """Alignments of SAM text files as they arrive; rec_no tells the file's lines apart, not their order."""
-    lines = spark.readStream.text(folder).select(F.xxhash64("_metadata.file_path", "value").alias("rec_no"), "value")
+    """Alignments of SAM text files as they arrive; rec_no tells a split's different lines apart, not their order."""
+    lines = spark.readStream.text(folder).select(F.xxhash64("_metadata.file_path", "_metadata.file_block_start", "value").alias("rec_no"), "value")
     return sam.from_lines(lines, contigs)
 
 
@@ -32,7 +31,7 @@ def parquet_stream(spark: SparkSession, folder: str) -> DataFrame:
 def window_stream(alignments: DataFrame, windowing: Windowing, reads: ReadFilter | None = None, mods: ModFilter | None = None, function=windows.density) -> DataFrame:
     """The window table of a stream, in append mode."""
     kept = alignments.where(record_filters.predicate(reads)) if reads else alignments
-    return windows.window_table(windows.over_tracks(decode(with_alignment(kept), mods), windowing, function))
+    return windows.window_table(windows.decode_windows(with_alignment(kept), mods, windowing, function))
 
 
 def state_counts(alignments: DataFrame) -> DataFrame:

@@ -23,6 +23,10 @@ def rows(df):
     return sorted(map(repr, df.select(*SAME).collect()))
 
 
+def records(reader, part):
+    return [r for batch in reader.read(part) for r in zip(*batch.to_pydict().values())]
+
+
 def config(**more):
     mod = {"base": "C", "mod_code": "m", "win": [10], "mod_range": [[0.7, 0.8], [0.1, 0.2]]}
     return S.SimulationConfig.parse(json.dumps({"contigs": {"number": 2, "len_range": [800, 1000]}, "reads": [{"number": 150, "mapq_range": [10, 20], "base_qual_range": [20, 40], "len_range": [0.2, 0.8], "mods": [mod]} | more], "seed": 5}))
@@ -59,7 +63,7 @@ def test_long_reads_over_many_splits(spark, tmp_path):
     sinks.write_bam(spark.createDataFrame(reads, ALIGNMENTS), contigs, f"{tmp_path}/long.bam", index=False)
     for split in (70_000, 300_000, 1 << 25):
         reader = bam.BamReader(f"{tmp_path}/long.bam", split)
-        got = [r[1:] for part in reader.partitions() for r in reader.read(part)]
+        got = [r[1:] for part in reader.partitions() for r in records(reader, part)]
         assert got == [r[1:] for r in reads]
 
 
@@ -70,7 +74,7 @@ def test_index_leads_to_fewer_splits(spark, simulated):
     assert list(reader.pushFilters([EqualTo(("contig",), "contig_00001")])) and reader.contig == "contig_00001"
     chunks = reader.partitions()
     assert all(c.exact for c in chunks)
-    seen = [r[4] for c in chunks for r in reader.read(c)]
+    seen = [r[4] for c in chunks for r in records(reader, c)]
     assert "contig_00001" in seen and len(seen) < 150
 
 
@@ -109,6 +113,126 @@ def test_staging(tmp_path):
     assert open(to, "rb").read() == b"abc" and files.size(to) == 3 and files.exists(to) and not files.exists(f"{to}x")
 
 
+def test_sam_by_content(spark, tmp_path):
+    held = open(write(tmp_path, FOUR), "rb").read()
+    to = files.staged("-", str(tmp_path), io.BytesIO(held))
+    assert to.endswith(".sam") and commands.Source(spark, to).rows().count() == 4
+    odd = tmp_path / "no-ending"
+    odd.write_bytes(held)
+    assert run(spark, "peek", str(odd))[-1] == "G-4321"
+
+
+def test_letters_as_bam_has_them(spark, tmp_path):
+    from samples import line
+
+    path = write(tmp_path, [line("x", 0, "north", 1, 0, "8M", "acGUux.N")])
+    assert sam.read_sam(spark, path).first().seq == "ACGTTNNN"
+
+
+def test_several_files(spark, tmp_path):
+    paths = []
+    for k in range(3):
+        path = write(tmp_path, FOUR[: k + 1], f"of{k}.sam")
+        alignments, contigs = sam.read_sam(spark, path), sam.contigs(spark, path)
+        paths.append(f"{tmp_path}/{k}.bam")
+        sinks.write_bam(alignments, contigs, paths[-1], index=False)
+    got = bam.read_bam(spark, paths).orderBy("rec_no").collect()
+    assert [r.read_id[-1] for r in got] == list("aababc") and len({r.rec_no for r in got}) == 6
+    folder = [write(tmp_path, [FOUR[0].replace("read-a", f"r{k}{j}") for j in range(5)], f"{k}.sam") for k in range(3)]
+    got = sam.read_sam(spark, *folder).orderBy("rec_no").collect()
+    assert [r.read_id for r in got] == [f"r{k}{j}" for k in range(3) for j in range(5)] and len({r.rec_no for r in got}) == 15
+
+
+class Server:
+    """A folder over HTTP, with ranges or without; counts the bytes that it gives out."""
+
+    def __init__(self, folder, ranges=True):
+        import http.server
+        import threading
+
+        outer = self
+        outer.given = 0
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                path = folder / self.path[1:]
+                if not path.exists():
+                    self.send_error(404)
+                    return
+                held, span = path.read_bytes(), self.headers.get("Range")
+                if span and ranges:
+                    a, b = span.removeprefix("bytes=").split("-")
+                    part = held[int(a) : int(b) + 1]
+                    self.send_response(206)
+                    self.send_header("Content-Range", f"bytes {a}-{int(a) + len(part) - 1}/{len(held)}")
+                else:
+                    part = held
+                    self.send_response(200)
+                self.send_header("Content-Length", str(len(part)))
+                self.end_headers()
+                outer.given += len(part)
+                self.wfile.write(part)
+
+            def log_message(self, *args):
+                pass
+
+        self.http = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.http.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.http.server_port}"
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *args):
+        self.http.shutdown()
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """A sorted file of some megabytes."""
+    folder = tmp_path_factory.mktemp("large")
+    draw = random.Random(7)
+    reads = []
+    for k in range(1500):
+        n = 2000
+        seq, qual = "".join(draw.choices("ACGT", k=n)), "".join(map(chr, draw.choices(range(34, 74), k=n)))
+        reads.append((k, f"r{k}", 0, 0, "c", k * 1000, 30, f"{n}M", seq, qual, None, None))
+    contigs = spark.createDataFrame([(0, "c", 2_000_000)], CONTIGS)
+    sinks.write_bam(spark.createDataFrame(reads, ALIGNMENTS), contigs, f"{folder}/x.bam")
+    return folder
+
+
+def test_intervals_by_the_index(spark, large):
+    whole = files.size(f"{large}/x.bam")
+    want = {f"r{k}" for k in range(1500) if k * 1000 < 701_500 and k * 1000 + 2000 > 700_500}
+    for split in (20_000, 1 << 25):
+        reader = bam.BamReader(f"{large}/x.bam", split, ("c", 700_500, 701_500))
+        parts = reader.partitions()
+        assert sum((p.end >> 16) - (p.start >> 16) for p in parts) < whole / 10
+        assert {r[1] for p in parts for r in records(reader, p)} == want
+    assert {r.read_id for r in bam.read_bam(spark, f"{large}/x.bam", "c", start=700_500, end=701_500).collect()} == want
+    everything = bam.BamReader(f"{large}/x.bam", 50_000, ("c", 0, None))
+    got = [r[1] for p in everything.partitions() for r in records(everything, p)]
+    assert len(everything.partitions()) > 5 and got == [f"r{k}" for k in range(1500)]
+
+
+def test_urls(spark, large):
+    want = sorted(f"r{k}" for k in range(1500) if k * 1000 < 701_500 and k * 1000 + 2000 > 700_500)
+    whole = files.size(f"{large}/x.bam")
+    with Server(large) as server:
+        assert files.staged(f"{server.url}/x.bam") == f"{server.url}/x.bam"
+        server.given = 0
+        reader = bam.BamReader(f"{server.url}/x.bam", 1 << 25, ("c", 700_500, 701_500))
+        got = [r[1] for p in reader.partitions() for r in records(reader, p)]
+        assert got == want and server.given < max(4 * files.AHEAD, whole // 2) + files.size(f"{large}/x.bam.bai")
+        table = run(spark, "read-table-hide-mods", f"{server.url}/x.bam", "--region", "c:700500-701500")
+        assert sorted(x.split("\t")[0] for x in table[1:]) == want and not any("cannot find index" in x for x in table)
+        assert not files.exists(f"{server.url}/none.bam")
+    with Server(large, ranges=False) as server:
+        to = files.staged(f"{server.url}/x.bam", str(large))
+        assert to.endswith(".bam") and files.size(to) == whole
+
+
 def test_fasta(spark, simulated):
     lines = [r.value for r in spark.read.text(simulated[1]).collect()]
     assert sorted(x for x in lines if x[0] == ">") == [">contig_00000", ">contig_00001"]
@@ -140,10 +264,10 @@ def test_edits_and_barcodes():
     import numpy as np
 
     draw = np.random.default_rng(1)
-    c = S.ReadConfig(barcode="AATT", delete=(0.1, 0.2), insert_middle="GGTTGG")
+    c = S.ReadConfig(barcode="CCAT", delete=(0.1, 0.2), insert_middle="TTAGA")
     seq, cigar = S.edited("ACGT" * 10, c, False, draw)
-    assert cigar == "4S4M4D12M6I20M4S" and seq.startswith("AATT") and seq.endswith("AATT") and "GGTTGG" in seq
-    assert S.with_barcode("", "AACG", False) == ("AACG", "CGTT") and S.with_barcode("", "AACG", True) == ("TTGC", "GCAA")
+    assert cigar == "4S4M4D12M5I20M4S" and seq.startswith("CCAT") and seq.endswith("ATGG") and "TTAGA" in seq
+    assert S.with_barcode("", "ACCT", False) == ("ACCT", "AGGT") and S.with_barcode("", "ACCT", True) == ("TGGA", "TCCA")
     seq, cigar = S.edited("A" * 100, S.ReadConfig(mismatch=0.3), False, draw)
     assert cigar == "100M" and seq.count("A") == 70
     with pytest.raises(InvalidOption):
@@ -157,12 +281,12 @@ def test_edits_and_barcodes():
 
 
 def test_groups_are_told_apart(spark):
-    unit, common = "ACGTACGT", dict(mapq_range=(10, 20), base_qual_range=(20, 40), len_range=(0.5, 1.0))
-    high, low = (S.ReadConfig(200, mods=({"base": "C", "mod_code": "m", "win": [1], "mod_range": [r]},), **common) for r in ((0.7, 0.8), (0.1, 0.2)))
-    with S.temporary(spark, S.SimulationConfig(S.ContigConfig(1, (2000, 2000), unit), (low, high), 3)) as (path, _):
-        for args, least in ((["any-dens-above", "--high", "0.9"], 190), (["all-dens-between", "--dens-limits", "0.9,1"], 190)):
-            lines = list(commands.run(spark, commands.parser().parse_args(["find-modified-reads", args[0], path, "--tag", "m", "--win", "100", "--step", "100", *args[1:]])))
-            assert len(lines) >= least and all(x.startswith("1.") for x in lines)
+    common = dict(mapq_range=(30, 50), base_qual_range=(15, 35), len_range=(0.6, 0.9))
+    groups = [S.ReadConfig(60, mods=({"base": "A", "mod_code": "a", "win": [3], "mod_range": [r]},), **common) for r in ((0.0, 0.1), (0.3, 0.45), (0.6, 0.95))]
+    with S.temporary(spark, S.SimulationConfig(S.ContigConfig(2, (1300, 1300), "TACCGTAAC"), tuple(groups), 9)) as (path, _):
+        for args in (["any-dens-above", "--high", "0.75"], ["all-dens-between", "--dens-limits", "0.8,1"]):
+            lines = list(commands.run(spark, commands.parser().parse_args(["find-modified-reads", args[0], path, "--tag", "a", "--win", "40", "--step", "15", *args[1:]])))
+            assert len(lines) == 60 and all(x.startswith("2.") for x in lines)
     assert not files.exists(path)
 
 
@@ -183,7 +307,7 @@ def test_commands(spark, simulated, tmp_path, capsys):
     assert "".join(shown[:1]).split("\t")[-2:] == ["sequence", "qualities"]
     assert "\tmod_count" in "\n".join(run(spark, "read-table-show-mods", path, "--tag", "m"))
     text = write(tmp_path, FOUR)
-    assert run(spark, "window-dens", text, "--win", "2", "--step", "1", "--region", "dummyI")[0].startswith("# cannot find index")
+    assert run(spark, "window-dens", text, "--win", "2", "--step", "1", "--region", "north")[0].startswith("# cannot find index")
     (tmp_path / "c.json").write_text(json.dumps({"contigs": {"len_range": [100, 100]}, "reads": [{"number": 3, "len_range": [0.5, 1]}]}))
     assert run(spark, "simulate", f"{tmp_path}/c.json", f"{tmp_path}/s.bam", f"{tmp_path}/s.fa") == []
     assert bam.read_bam(spark, f"{tmp_path}/s.bam").count() == 3
