@@ -16,24 +16,12 @@ from modspark.operators.decode import calls as call_rows
 from modspark.operators.decode import decode
 from modspark.options import ModFilter, ReadFilter, SeqDisplay, Threshold, Windowing, f32
 from modspark.plans import adapters as A
+from modspark.plans import ragged  # noqa: F401  registers its queries
+from modspark.plans.registry import QUERIES, SQL, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 KEYS = ("read_id", "mod_code")
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Register a function of (spark, sf_dir) under its name."""
-
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
 # Windows over calls.
 
 _WINDOWED = f"""with {A.CALLS.strip()},
@@ -52,17 +40,17 @@ _SLOPE = "(placed - idx * hit + hit - 3.0 * hit) / 10.0"
 
 @query(_windows(5, 2, "read_id, mod_code, idx::int as idx, win_start, win_end, hit / 5.0::double as win_val"))
 def window_density(spark, sf_dir):
-    return windows.over_calls(A.calls(spark, sf_dir), Windowing(5, 2), KEYS, "density", single=False)
+    return windows.over_calls(A.calls(spark, sf_dir), Windowing(5, 2), KEYS, "density", False, "pos")
 
 
 @query(_windows(5, 1, f"read_id, mod_code, idx::int as idx, win_start, win_end, ({_SLOPE})::double as win_val"))
 def window_gradient(spark, sf_dir):
-    return windows.over_calls(A.calls(spark, sf_dir), Windowing(5, 1), KEYS, "gradient", single=False)
+    return windows.over_calls(A.calls(spark, sf_dir), Windowing(5, 1), KEYS, "gradient", False, "pos")
 
 
 @query(_windows(10, 10, "read_id, mod_code, idx::int as idx, win_start, win_end, hit / 10.0::double as win_val", "and hit / 10.0 >= 0.4"))
 def window_density_at_least(spark, sf_dir):
-    return windows.over_calls(A.calls(spark, sf_dir), Windowing(10, 10), KEYS, "density", single=False).where(F.col("win_val") >= 0.4)
+    return windows.over_calls(A.calls(spark, sf_dir), Windowing(10, 10), KEYS, "density", False, "pos").where(F.col("win_val") >= 0.4)
 
 
 def _selection(condition: str, slope: bool = False) -> str:
@@ -79,7 +67,7 @@ def _find(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
         "dens_range_above": lambda: selection.range_above(0.7),
         "any_abs_grad_above": lambda: selection.any_abs_above(0.25),
     }[kind]()
-    found = windows.over_calls(A.calls(spark, sf_dir), Windowing(5, 1), KEYS, "gradient" if "grad" in kind else "density")
+    found = windows.over_calls(A.calls(spark, sf_dir), Windowing(5, 1), KEYS, "gradient" if "grad" in kind else "density", order="pos")
     return selection.find_in_windows(found, condition)
 
 
@@ -129,9 +117,8 @@ def filter_read_id_list(spark, sf_dir):
     return record_filters.by_ids(kept, A.wanted_ids(spark, sf_dir)).select("rec_no", "read_id")
 
 
-@query()
+@query(_SELECT + "('0x' || substr(md5(read_id || ':11'), 1, 15))::ubigint::double / 1152921504606846976 < 0.5")
 def filter_sample(spark, sf_dir):
-    """The draw is a hash that SQL engines don't share, so only its rows are compared."""
     rows = A.flat_alignments(spark, sf_dir)
     return rows.where(record_filters.by_sample(F.col("read_id"), 0.5, 11)).select("rec_no", "read_id")
 
@@ -150,8 +137,8 @@ def read_states(spark, sf_dir):
 
 
 @query(
-    "select doc_id, reverse(translate(substr(text, 1, 200), 'AGCTYRWSKMDVHBNagctyrwskmdvhbn', 'TCGARYWSMKHBDVNtcgarywsmkhbdvn')) as turned,"
-    " translate(substr(text, 1, 200), 'acgtn', 'ACGTN') as upper_bases from documents"
+    "select doc_id, reverse(translate(text, 'AGCTYRWSKMDVHBNagctyrwskmdvhbn', 'TCGARYWSMKHBDVNtcgarywsmkhbdvn')) as turned,"
+    " translate(text, 'acgtn', 'ACGTN') as upper_bases from documents"
 )
 def sequence_functions(spark, sf_dir):
     text = F.col("text")
@@ -174,10 +161,10 @@ def call_threshold(spark, sf_dir):
     return rows.select("read_id", "pos", values.to_fraction(F.col("qual")).cast("double").alias("chance"))
 
 
-@query(f"with {A.ALIGNMENTS.strip()} select rec_no, case when flag <> 4 then contig end as contig, case when flag <> 4 then pos else 0 end as start, case when flag <> 4 then pos + align_len else 0 end as stop from alignments")
+@query(f"with {A.ALIGNMENTS.strip()} select rec_no, case when flag <> 4 then contig end as contig, case when flag <> 4 then pos else 0 end as start, case when flag <> 4 then pos + align_len else 0 end as stop, case when flag = 4 then '.' when flag & 16 > 0 then '-' else '+' end as strand from alignments")
 def read_intervals(spark, sf_dir):
     rows = A.flat_alignments(spark, sf_dir).withColumns({"strand": states.strand(states.state(F.col("flag"))), "ref_end": F.col("pos") + F.col("align_len")})
-    return rows.select("rec_no", interval().alias("i")).select("rec_no", "i.contig", "i.start", F.col("i.end").alias("stop"))
+    return rows.select("rec_no", interval().alias("i")).select("rec_no", "i.contig", "i.start", F.col("i.end").alias("stop"), "i.strand")
 
 
 # Decoding.
@@ -186,7 +173,7 @@ _CALLED = f"with {A.TAGGED.strip()} select rec_no, read_id, base, '+' as mod_str
 
 
 def _decoded(mods: ModFilter, spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = call_rows(decode(A.tagged_reads(spark, sf_dir), mods))
+    rows = call_rows(decode(A.tagged_reads(spark, sf_dir), mods, keep=("rec_no", "read_id")))
     return rows.select("rec_no", "read_id", "base", "mod_strand", "mod_code", F.col("pos").cast("long"), F.col("ref_pos").cast("long"), F.col("qual").cast("int"))
 
 
@@ -203,7 +190,7 @@ for _name, (_mods, _where) in {
 
 @query(f"with {A.TAGGED.strip()} select rec_no, count(*) filter (where mod_code = 'T' and qual >= 128)::bigint as t, count(*) filter (where mod_code = '76792' and qual >= 128)::bigint as c from called group by rec_no")
 def mod_counts(spark, sf_dir):
-    reads = decode(A.tagged_reads(spark, sf_dir), ModFilter().promoted())
+    reads = decode(A.tagged_reads(spark, sf_dir), ModFilter().promoted(), keep=("rec_no",))
     from modspark.operators.decode import counts_per_code
 
     counts = reads.select("rec_no", counts_per_code("tracks").alias("n"))
@@ -213,8 +200,8 @@ def mod_counts(spark, sf_dir):
 @query(f"with {A.TAGGED.strip()} select distinct rec_no, pos from called where qual > 0")
 def modified_positions(spark, sf_dir):
     """Where any track of a read has a call above 0."""
-    calls = call_rows(decode(A.tagged_reads(spark, sf_dir)))
-    return calls.where("qual > 0").select("rec_no", F.col("pos").cast("long")).distinct()
+    rows = dense.with_dense_calls(decode(A.tagged_reads(spark, sf_dir), keep=("rec_no", "seq_len")))
+    return rows.select("rec_no", F.posexplode(dense.modified_mask()).alias("pos", "m")).where("m").select("rec_no", F.col("pos").cast("long"))
 
 
 @query(
@@ -223,34 +210,33 @@ def modified_positions(spark, sf_dir):
   base, true as is_strand_plus, mod_code, pos as position, coalesce(ref_pos, -1) as ref_position, qual::bigint as mod_quality from called"""
 )
 def reads_export(spark, sf_dir):
-    return read_info.reads_table(decode(A.tagged_reads(spark, sf_dir)))
+    return read_info.reads_table(decode(A.tagged_reads(spark, sf_dir), keep=read_info.DESCRIBED))
 
 
 _TRACKS = f"""with {A.TAGGED.strip()}, ordered as (select *, row_number() over (partition by rec_no, mod_code order by pos) - 1 as idx from called),
 w as (select *, count(*) over f as k, sum(case when qual >= 128 then 1 else 0 end) over f as hit, max(pos) over f + 1 as win_end, min(ref_pos) over f as low, max(ref_pos) over f + 1 as high
   from ordered window f as (partition by rec_no, mod_code order by idx rows between current row and 3 following))
 select case when mapped then contig else '.' end as contig, coalesce(low, -1) as ref_win_start, coalesce(high, -1) as ref_win_end, read_id, cast(hit / 4.0 as double) as win_val,
-  case when flag = 4 then '.' when flag & 16 > 0 then '-' else '+' end as strand, base, '+' as mod_strand, mod_code as mod_type, pos as win_start, win_end, rec_no % 60 as basecall_qual
+  case when flag = 4 then '.' when flag & 16 > 0 then '-' else '+' end as strand, base, '+' as mod_strand, mod_code as mod_type, pos as win_start, win_end, rec_no % 60 as basecall_qual, rec_no
 from w where k = 4 and idx % 2 = 0"""
 
 
-@query(_TRACKS)
+@query(f"select * exclude (rec_no) from ({_TRACKS})")
 def window_table(spark, sf_dir):
     """Windows along nested tracks, with intervals on read and reference and the mean base quality."""
-    out = windows.window_table(windows.over_tracks(decode(A.tagged_reads(spark, sf_dir)), Windowing(4, 2)))
+    out = windows.window_table(windows.decode_windows(A.tagged_reads(spark, sf_dir), None, Windowing(4, 2)))
     return out.withColumn("win_val", F.col("win_val").cast("double")).drop("rec_no", "track_no", "idx")
 
 
-@query(f"with t as ({_TRACKS}) select read_id from t where mod_type = 'T' group by read_id having max(win_val) >= 0.75")
+@query(f"with t as ({_TRACKS}) select rec_no, read_id from t where mod_type = 'T' group by rec_no, read_id having max(win_val) >= 0.75")
 def find_modified_reads(spark, sf_dir):
-    found = selection.find_reads(decode(A.tagged_reads(spark, sf_dir)), Windowing(4, 2), "T", selection.any_above(f32(0.75)))
-    return found.select("read_id").distinct()
+    return selection.find_reads(A.tagged_reads(spark, sf_dir), Windowing(4, 2), "T", selection.any_above(f32(0.75)))
 
 
 @query(f"with {A.TAGGED.strip()} select rec_no, base, mod_code, any_value(4 * n)::bigint as n_bases, sum(qual)::bigint as total, count(*) filter (where qual > 0)::bigint as n_modified from called group by rec_no, base, mod_code")
 def dense_calls(spark, sf_dir):
     """The dense matrix of a read, summed along its rows."""
-    reads = dense.with_dense_calls(decode(A.tagged_reads(spark, sf_dir)))
+    reads = dense.with_dense_calls(decode(A.tagged_reads(spark, sf_dir), keep=("rec_no", "seq_len")))
     rows = reads.select("rec_no", F.explode(F.arrays_zip(dense.mod_types().alias("t"), F.col("dense").alias("q"))).alias("z"))
     total = F.aggregate("z.q", F.lit(0).cast("long"), lambda s, q: s + q)
     return rows.select("rec_no", "z.t.base", "z.t.mod_code", F.size("z.q").cast("long").alias("n_bases"), total.alias("total"), F.size(F.filter("z.q", lambda q: q > 0)).cast("long").alias("n_modified"))
