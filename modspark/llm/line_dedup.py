@@ -7,7 +7,8 @@ threshold, reassemble each text by position.
 * Keys are held as 128-bit hashes. A first pass counts rows per key, which is a sum that
   combines before the shuffle; only keys with `min_docs` rows or more go on, so what a
   hot line sends is a number per task. The second pass counts distinct documents.
-* Nothing is collected: the dropped keys of a document meet its text in a join by id.
+* Nothing is collected: the dropped keys of a document meet its text in a join by id, which
+  documents that lose no line, told by a bitmap of bounded size, take no part in.
 
 Defined cases: a null or empty text is one empty line (null stays null); rows that repeat
 a doc_id are one document; rows with a null doc_id count for nothing and stay whole; an
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modspark.llm.members import marked
 from modspark.llm.text import place_of, utf8
 from modspark.session import materialise, ship
 
@@ -104,8 +106,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id: str
     # Tables on both sides of a join let Spark split the partition of a hot line.
     held = materialise(lines.join(materialise(often), ["h", "g"])).distinct()
     hot = materialise(held.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs))
-    drops = held.join(hot, ["h", "g"]).where("doc <> keeper").groupBy("doc").agg(F.collect_list(F.struct("h", "g")).alias("__drops"))
+    drops = materialise(held.join(hot, ["h", "g"]).where("doc <> keeper").groupBy("doc").agg(F.collect_list(F.struct("h", "g")).alias("__drops")))
     rows = docs.drop(*counts)
-    with_drops = rows.join(drops.withColumnRenamed("doc", "__doc"), F.col(id) == F.col("__doc"), "left").drop("__doc")
+    told = marked(rows, id, drops.select("doc"), "__may")  # texts that lose nothing aren't shuffled
+    with_drops = told.where("__may").drop("__may").join(drops.withColumnRenamed("doc", "__doc"), F.col(id) == F.col("__doc"), "left").drop("__doc")
+    with_drops = with_drops.unionByName(told.where("not __may").drop("__may").withColumn("__drops", F.lit(None).cast(drops.schema["__drops"].dataType)))
     schema = T.StructType([*rows.schema.fields, T.StructField(counts[0], T.LongType()), T.StructField(counts[1], T.LongType())])
     return with_drops.mapInArrow(_rewrite(rows.columns, text, counts, min_chars), schema)
