@@ -11,7 +11,8 @@ that no control string can occur in them, and reading back is exact. The loss ma
 spans of code points of the formatted text that hold the assistant's texts, and nothing else.
 
 Defined cases: a null text or role is an empty one; turns with the same number are ordered by
-role and text; null turn numbers come first; rows with a null conversation id belong to no
+role and text; null turn numbers come first; rows of single turns keep their roles as they are,
+names of roles inside other layouts become those of ROLES; rows with a null conversation id belong to no
 conversation and give none; a layout that no mapping knows gives null turns; no turns give an
 empty formatted text; empty tables give empty results; other columns are left out.
 """
@@ -118,7 +119,7 @@ def canonical(df: DataFrame, id: str = "conv_id") -> DataFrame:
     name = F.lit(mapping.name).alias("layout")
     if mapping.kind != "rows":
         return df.select(F.col(id), name, _turns_of(mapping, have, F.col).cast(TURNS).alias("turns"))
-    rows = df.where(F.col(id).isNotNull()).select(id, F.struct(F.col("turn"), _role(F.col("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    rows = df.where(F.col(id).isNotNull()).select(id, F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     turns = F.transform(F.sort_array(F.collect_list("t")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
     return rows.groupBy(id).agg(turns.alias("turns")).select(id, name, F.col("turns").cast(TURNS).alias("turns"))
 
