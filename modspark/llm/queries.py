@@ -75,6 +75,51 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_reencoded")
 
 
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: the base counts, and whether they fail."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: how many spans of the base kinds."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: sizes and targets."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+BASE_SQL = rf"""
+with w as (select row_number() over () as row, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+runs as (select row, i, array_to_string(w[i:i + 7], ' ') as g from (select row, w, unnest(range(1, len(w) - 6)) as i from w where len(w) >= 8)),
+again as (select row, i from (select row, i, count(*) over (partition by row, g) as n from runs) where n > 1),
+covered as (select row, count(distinct p) as n from (select row, unnest(range(i, i + 8)) as p from again) group by row),
+lines as (select row, l from (select row, unnest(string_split(t, chr(10))) as l from w) where regexp_matches(l, '{_WORD}')),
+copies as (select row, count(*) - count(distinct l) as n from lines group by row)
+select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(copies.n, 0)::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words, len(w) < 20 or 100 * coalesce(covered.n, 0) > 30 * len(w) as base_failed
+from w left join copies using (row) left join covered using (row)
+"""
+
+_EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in x) for x in ("password", "passwd", "secret", "token", "api_?key"))
+SECRETS_SQL = rf"""
+select doc_id, len(list_filter(regexp_extract_all(t, '(?:{_EITHER})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8))::bigint as n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16))::bigint as n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32))::bigint as n_hex
+from (select doc_id, coalesce(text, '') as t from documents)
+"""
+
+MIX_SQL = rf"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size from documents),
+s as (select source, sum(size)::bigint as n, [3.0, 1.0, 2.0][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)]::double as weight from d group by source),
+all_of as (select 1.5 * sum(n)::double as total from s),
+edges as (select 2.0 * n / weight as edge from s union select 0.0),
+filled as (select edge, sum(least(2.0 * n, edge * weight)) as got, coalesce(sum(weight) filter (where 2.0 * n / weight > edge), 0) as free from edges, s group by edge),
+level as (select arg_max(edge + case when free > 0 then (total - got) / free else 0 end, edge) as reached from filled, all_of where got <= total)
+select doc_id, size, n as source_size, round(least(2.0 * n, reached * weight), 3) as target from d join s on d.source is not distinct from s.source, level
+"""
+
 _REACH = """
 reach as (select id as node, id as least from nodes union select l.b, r.least from reach r join links l on l.a = r.node),
 classes as (select node, min(least) as class from reach group by node),
@@ -124,8 +169,8 @@ from kept group by row, doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_line_dedup, op4_toxicity, op5_packing, op6_secret_scan, op7_mixing, op8_chat_format, op9_vector_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_line_dedup, op4_toxicity, op5_packing, op6_secret_scan, op7_mixing, op8_chat_format, op9_vector_join, op10_token_counts, base_counts, base_secrets, mix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op9_vector_join": OP9_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op9_vector_join": OP9_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "base_counts": BASE_SQL, "base_secrets": SECRETS_SQL, "mix_targets": MIX_SQL}

@@ -17,7 +17,7 @@ them; to the driver come at most `SELECTED` features of each document. Scores co
 see nothing but the text.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; rows that
-repeat are scored each; a null doc_id is never learned from and isn't held out; without any
+repeat are scored each; a very long text is worked through in pieces; a null doc_id is never learned from and isn't held out; without any
 positive label every score is the prior, or 0 without labels; empty tables give empty results.
 """
 
@@ -112,6 +112,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradient(x: Sets, y: Sets, w: np.ndarray, prior: float, n: int) -> tuple[np.ndarray, float]:
+    """Of the non-negative risk of positive sets x and unlabelled sets y at weights w[:n] and bias w[n]; and its second part.
+
+    Where the second part is below 0 it is the gradient that leads away from that.
+    """
+    sp, su = sigmoid(x.times(w) + w[n]), sigmoid(y.times(w) + w[n])
+    risk = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
+    if risk >= 0:
+        gp, gu = -prior * (1 - sp) / len(sp) - prior * sp / len(sp), su / len(su)
+    else:  # unlabelled rows are fitted too well
+        gp, gu = prior * sp / len(sp), -su / len(su)
+    return np.append(x.back(gp, n) + y.back(gu, n), gp.sum() + gu.sum()), float(risk)
+
+
 def train(p: Sets, u: Sets, prior: float, n: int, seed: int, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam."""
     draw = np.random.default_rng(seed)
@@ -121,15 +135,7 @@ def train(p: Sets, u: Sets, prior: float, n: int, seed: int, epochs: int = EPOCH
         for some_p, some_u in zip(np.array_split(draw.permutation(len(p)), BATCHES), np.array_split(draw.permutation(len(u)), BATCHES)):
             if not len(some_p) or not len(some_u):
                 continue
-            x, y = p.rows(some_p), u.rows(some_u)
-            sp, su = sigmoid(x.times(w) + w[n]), sigmoid(y.times(w) + w[n])
-            risk = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-            gp, gu = -prior * (1 - sp) / len(sp), np.zeros(len(su))
-            if risk >= 0:
-                gp, gu = gp - prior * sp / len(sp), su / len(su)
-            else:  # unlabelled rows are fitted too well: away from that
-                gp, gu = prior * sp / len(sp), -su / len(su)
-            g = np.append(x.back(gp, n) + y.back(gu, n), gp.sum() + gu.sum())
+            g, _ = gradient(p.rows(some_p), u.rows(some_u), w, prior, n)
             g[:n] += DECAY * w[:n]
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
