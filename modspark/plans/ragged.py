@@ -12,10 +12,13 @@ from __future__ import annotations
 import os
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from modspark import format as text
+from modspark import simulate
 from modspark.functions import states, values
+from modspark.functions.sequence import reverse_complement
 from modspark.model import ALIGNMENT_COLUMNS, CONTIGS
 from modspark.operators import dense, display, read_info, read_table, record_filters, selection, sql, windows
 from modspark.operators.alignment import with_alignment
@@ -24,7 +27,7 @@ from modspark.operators.decode import decode
 from modspark.options import ModFilter, ReadFilter, Region, SeqDisplay, Threshold, Windowing
 from modspark.plans import adapters as A
 from modspark.plans.registry import query
-from modspark.session import shared_dir
+from modspark.session import scratch
 from modspark.sources import bam, sam, sinks, tables
 
 HEX, LETTERS, QUALITIES = "0123456789abcdef", "ACGTACGTACGTACGT", "!#%,/2589<?BDFHJ"
@@ -123,6 +126,28 @@ def ragged_region(spark, sf_dir):
     return _decoded(spark, sf_dir, mods=ModFilter(region=CONTIG))
 
 
+@query(f"""with {CALLS}, k as (select * from c where mod_code = 'm' and mod_strand = '+' and qual >= 1 and qual not between 100 and 150 and base_qual >= 11 and base_qual <> 255 and f >= 3 and f < n - 3 and mapped and on_contig = '{CONTIG[0]}' and start < 9000 and stop > 2000),
+e as (select *, min(pos) filter (where ref_pos >= 2000 and ref_pos < 9000) over w as low, max(pos) filter (where ref_pos >= 2000 and ref_pos < 9000) over w as high from k window w as (partition by rec_no))
+select {_CALL.replace('track', '0 as track')} from e where (start >= 2000 and stop <= 9000) or pos between low and high""")
+def ragged_combined(spark, sf_dir):
+    """All conditions on calls at once."""
+    rows = _decoded(spark, sf_dir, mods=ModFilter("m", "bc", Threshold(1, (100, 150)), 3, 11, (CONTIG[0], 2000, 9000)))
+    return rows.withColumn("track", F.lit(0))
+
+
+_FAULTS = "case key % 7 when 0 then 'InvalidModProbs' when 1 then 'InvalidModProbs' when 2 then 'InvalidModCoords' when 3 then 'InvalidModType' when 4 then 'DuplicateMods' when 5 then 'InvalidBase' end"
+
+
+@query(f"with {READS} select key as rec_no, {_FAULTS} as kind, case when key % 7 = 6 then 3 end::int as n_tracks from r")
+def ragged_faults(spark, sf_dir):
+    """Tags that contradict themselves, told apart; good ones among them."""
+    change = "case rec_no % 7 when 3 then rtrim(';', mm) when 4 then concat(mm, 'A+m?;') when 5 then concat(mm, 'Z+m;') when 2 then concat(mm, 'T+t?,900;') else mm end"
+    chances = "case rec_no % 7 when 0 then slice(ml, 1, size(ml) - 1) when 1 then concat(ml, array(cast(7 as short))) else ml end"
+    rows = with_alignment(alignments(spark, sf_dir).withColumns({"mm": F.expr(change), "ml": F.expr(chances)}))
+    out = decode(rows, mode="permissive", keep=("rec_no",))
+    return out.select("rec_no", F.substring_index("error", ":", 1).alias("kind"), F.when(F.col("tracks").isNotNull(), F.size("tracks")).alias("n_tracks"))
+
+
 @query(f"with {CALLS} select {_CALL} from c")
 def ragged_sql_calls(spark, sf_dir):
     """The table function for SQL."""
@@ -161,6 +186,23 @@ def ragged_density_at_least(spark, sf_dir):
     return _windows(spark, sf_dir, windows.density_at_least(0.5))
 
 
+_LINES = _WINDOWS.replace("select contig, ref_win_start, ref_win_end, read_id, win_val, strand, base, mod_strand, mod_type, win_start, win_end, basecall_qual from t where k = 3 and idx % 2 = 0", "")
+
+
+@query(f"""{_LINES}
+select row_number() over (order by rec_no, mod_strand = '-', mod_type <> 'm', idx) as nth, concat_ws(chr(9), contig, ref_win_start, ref_win_end, read_id, case round(3 * win_val) when 0 then '0' when 1 then '0.33333334' when 2 then '0.6666667' else '1' end, strand, base, mod_strand, mod_type, win_start, win_end, basecall_qual) as line
+from t where k = 3 and idx % 2 = 0
+union all select 0, concat_ws(chr(9), '#contig', 'ref_win_start', 'ref_win_end', 'read_id', 'win_val', 'strand', 'base', 'mod_strand', 'mod_type', 'win_start', 'win_end', 'basecall_qual')""")
+def ragged_window_lines(spark, sf_dir):
+    """The window table as text, in file order."""
+    path = _path(spark, "windows.txt")
+    table = windows.window_table(windows.decode_windows(reads(spark, sf_dir), None, Windowing(3, 2)))
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(f"{k} {x}\n" for k, x in enumerate(text.windows_tsv(table)))
+    at = F.instr("value", " ")
+    return spark.read.text(path).select(F.substring_index("value", " ", 1).cast("long").alias("nth"), F.substr("value", at + 1).alias("line"))
+
+
 @query(f"with {CALLS}, w as (select rec_no, read_id, max(qual) over f as top, count(*) over f as k from c where mod_code = 'm' window f as (partition by rec_no order by pos rows between current row and 1 following)) select distinct rec_no, read_id from w where k = 2 and top >= 230")
 def ragged_find_custom(spark, sf_dir):
     """A window function and a condition on values of the caller's own."""
@@ -218,13 +260,11 @@ _SCANNED = f"with {READS} select 'r' || key as read_id, flag, case when mapped t
 SPLIT = 100_000
 
 
-def _path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A place of its own in the shared folder."""
-    import uuid
-
-    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-    return f"{folder}/{uuid.uuid4().hex}-{name}"
+def _path(spark: SparkSession, name: str) -> str:
+    """Where the driver writes a file of its own."""
+    path = scratch(spark, name).removeprefix("file://").removeprefix("file:")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
 
 
 def _scanned(rows: DataFrame) -> DataFrame:
@@ -234,14 +274,14 @@ def _scanned(rows: DataFrame) -> DataFrame:
 @query(_SCANNED)
 def scan_bam(spark, sf_dir):
     """A BAM file without index, in many splits."""
-    path = _path(spark, sf_dir, "reads.bam")
+    path = _path(spark, "reads.bam")
     sinks.write_bam(alignments(spark, sf_dir), contigs(spark), path, index=False)
     return _scanned(bam.read_bam(spark, path, split=SPLIT))
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> str:
     """A sorted BAM file with an index; records are numbered in its order by the writer's own sort."""
-    path = _path(spark, sf_dir, "sorted.bam")
+    path = _path(spark, "sorted.bam")
     rows = sinks.sorted_alignments(alignments(spark, sf_dir)).withColumn("rec_no", F.monotonically_increasing_id())
     sinks.write_bam(rows, contigs(spark), path)
     return path
@@ -253,6 +293,26 @@ def scan_bam_region(spark, sf_dir):
     return _scanned(bam.read_bam(spark, _indexed(spark, sf_dir), CONTIG[0], SPLIT, CONTIG[1], CONTIG[2]))
 
 
+@query(_SCANNED + f" where mapped and on_contig = '{CONTIG[0]}' and start < {CONTIG[2]} and stop > {CONTIG[1]}")
+def scan_bam_region_unindexed(spark, sf_dir):
+    """The same without an index: all of the file is read."""
+    path = _path(spark, "plain.bam")
+    sinks.write_bam(alignments(spark, sf_dir), contigs(spark), path, index=False)
+    return _scanned(bam.read_bam(spark, path, CONTIG[0], SPLIT, CONTIG[1], CONTIG[2]))
+
+
+@query("select unnest([0, 1, 2])::int as tid, unnest(['contig0', 'contig1', 'contig2']) as contig, 20000::bigint as length")
+def header_contigs(spark, sf_dir):
+    return bam.contigs(spark, _indexed(spark, sf_dir))
+
+
+@query(f"with {READS} select 'r' || key as read_id, on_contig as contig, row_number() over (partition by on_contig order by start, flag & 16 > 0, key) as nth from r where mapped")
+def sorted_places(spark, sf_dir):
+    """The order that an index needs, as a file has it on each contig."""
+    rows = bam.read_bam(spark, _indexed(spark, sf_dir)).where("flag <> 4")
+    return rows.select("read_id", "contig", F.row_number().over(Window.partitionBy("contig").orderBy("rec_no")).cast("long").alias("nth"))
+
+
 @query(_SCANNED + " where mapped and on_contig = 'contig2'")
 def scan_bam_contig(spark, sf_dir):
     return _scanned(bam.read_bam(spark, _indexed(spark, sf_dir), "contig2", SPLIT))
@@ -260,15 +320,53 @@ def scan_bam_contig(spark, sf_dir):
 
 @query(_SCANNED)
 def scan_sam(spark, sf_dir):
-    path = _path(spark, sf_dir, "reads.sam")
+    path = _path(spark, "reads.sam")
     with open(path, "w", encoding="utf-8") as f:
         f.writelines(f"{x}\n" for x in sinks.sam_lines(alignments(spark, sf_dir), contigs(spark)))
     return _scanned(sam.read_sam(spark, path))
 
 
+@query(f"""with {READS} select 'r' || key as read_id, {_MM} as mm, case when key % 3 = 2 then '' else {_ML} end as ml from r""")
+def scan_sam_tags(spark, sf_dir):
+    """Both spellings of the tags, and numbers that aren't bytes, which count as none."""
+    path = _path(spark, "tags.sam")
+    name = lambda a, b: F.when(F.col("rec_no") % 3 == 0, F.lit(a)).otherwise(F.lit(b))
+    numbers = F.array_join(F.transform("ml", lambda x: x.cast("string")), ",")
+    kind = F.when(F.col("rec_no") % 3 == 2, F.lit("B:S,")).otherwise(F.lit("B:C,"))
+    fields = ["read_id", F.col("flag").cast("string"), F.coalesce("contig", F.lit("*")), (F.col("pos") + 1).cast("string"), F.lit("9"), F.coalesce("cigar", F.lit("*")), F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*")]
+    lines = alignments(spark, sf_dir).select(F.concat_ws("\t", *fields, F.concat(name("Mm", "MM"), F.lit(":Z:"), "mm"), F.lit("NM:i:3"), F.concat(name("Ml", "ML"), F.lit(":"), kind, numbers)).alias("value"))
+    head = spark.createDataFrame([(f"@SQ\tSN:contig{k}\tLN:20000",) for k in range(3)], "value string")
+    head.coalesce(1).write.text(f"{path}/a")
+    lines.write.text(f"{path}/b")
+    rows = sam.from_lines(spark.read.text(f"{path}/b").select(F.monotonically_increasing_id().alias("rec_no"), "value"), sam.contigs(spark, f"{path}/a"))
+    return rows.select("read_id", "mm", F.array_join(F.transform("ml", lambda x: x.cast("string")), ",").alias("ml"))
+
+
+@query("select unnest([0, 1])::int as part, unnest([300, 200])::bigint as n, unnest([300, 200])::bigint as n_in_contig, unnest([300, 200])::bigint as n_quality, unnest([300, 200])::bigint as n_called, true as sorted")
+def simulated_reads(spark, sf_dir):
+    """What must hold of simulated reads, whatever is drawn: two groups, sequences out of their contig, calls on every candidate, and their order."""
+    mods = ({"base": "C", "mod_code": "m", "win": [3, 2], "mod_range": [[0.5, 0.6], [0.0, 0.1]]},)
+    groups = tuple(simulate.ReadConfig(n, mapq_range=(5, 9), base_qual_range=(11, 19), len_range=(0.3, 0.7), mods=mods) for n in (300, 200))
+    rows, _, sequences = simulate.simulate(spark, simulate.SimulationConfig(simulate.ContigConfig(3, (700, 700), "ACCGTTAGC"), groups, 21))
+    whole = sequences.select(F.col("name").alias("contig"), F.col("seq").alias("whole")) if "name" in sequences.columns else sequences
+    calls = call_rows(decode(with_alignment(rows), keep=("rec_no", "read_id"))).groupBy("rec_no").agg(F.count("*").alias("called"), F.sum(F.col("qual").between(127, 153).cast("int")).alias("high"))
+    forward = F.when(F.col("flag").bitwiseAND(16) > 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    wanted = F.length(forward) - F.length(F.replace(forward, F.lit("C"), F.lit("")))
+    high = F.floor(wanted / 5) * 3 + F.least(F.lit(3), wanted % 5)
+    place = F.when(F.col("contig").isNull(), F.lit(True)).otherwise(F.expr("substr(whole, pos + 1, length(seq))") == F.col("seq"))
+    good = F.forall(F.split("qual", ""), lambda q: (q == "") | (F.ascii(q) - 33).between(11, 19))
+    before = F.lag(F.struct(F.col("flag") == 4, "tid", "pos", F.col("flag").bitwiseAND(16) != 0)).over(Window.partitionBy("contig").orderBy("rec_no"))
+    order = F.coalesce(before <= F.struct(F.col("flag") == 4, "tid", "pos", F.col("flag").bitwiseAND(16) != 0), F.lit(True))
+    checked = rows.join(whole, "contig", "left").join(calls, "rec_no", "left").withColumn("order", order)
+    return checked.groupBy(F.substring_index("read_id", ".", 1).cast("int").alias("part")).agg(
+        F.count("*").alias("n"), F.sum(place.cast("long")).alias("n_in_contig"), F.sum(good.cast("long")).alias("n_quality"),
+        F.sum(((F.coalesce("called", F.lit(0)) == wanted) & (F.coalesce("high", F.lit(0)) == high)).cast("long")).alias("n_called"), F.bool_and("order").alias("sorted"),
+    )
+
+
 @query("select unnest(['>' || c_name, c_mktsegment]) as line from customer")
 def fasta_lines(spark, sf_dir):
-    path = _path(spark, sf_dir, "contigs.fa")
+    path = _path(spark, "contigs.fa")
     sinks.fasta(A.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seq")), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
@@ -276,7 +374,7 @@ def fasta_lines(spark, sf_dir):
 @query("select distinct cast(c_custkey as varchar) as read_id from customer where c_mktsegment = 'BUILDING'")
 def read_id_file(spark, sf_dir):
     """A list of ids with comments, blank lines and repeats."""
-    path = _path(spark, sf_dir, "ids.txt")
+    path = _path(spark, "ids.txt")
     ids = A.wanted_ids(spark, sf_dir).select(F.explode(F.array(F.lit("# a comment"), F.lit("  "), F.col("read_id"), F.concat(F.lit(" "), "read_id"))).alias("value"))
     ids.write.text(path)
     return tables.read_ids(spark, path)
@@ -285,7 +383,7 @@ def read_id_file(spark, sf_dir):
 @query("select cast(c_custkey as varchar) as read_id, (c_custkey % 900 + 100)::bigint as sequence_length_template from customer")
 def summary_file(spark, sf_dir):
     """A sequencing summary with comments and other columns."""
-    path = _path(spark, sf_dir, "summary.tsv")
+    path = _path(spark, "summary.tsv")
     with open(path, "w", encoding="utf-8") as f:
         f.write("# made for a test\n# second comment\nrun\tsequence_length_template\tread_id\n")
         for r in A.summary(spark, sf_dir).orderBy("read_id").toLocalIterator():

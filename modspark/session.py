@@ -84,8 +84,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted like the tables of materialise()."""
+    path = f"{shared_dir(spark)}/modspark-{uuid.uuid4().hex}-{name}"
+    _written.append((spark, path))
+    return path
+
+
 def held() -> frozenset[str]:
-    """Paths of the tables that materialise() has written and that are still there."""
+    """Paths of what materialise() and scratch() have given out and that is still there."""
     return frozenset(path for _, path in _written)
 
 
