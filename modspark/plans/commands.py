@@ -149,7 +149,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> Iterable[str]:
             config = simulate.SimulationConfig.parse(f.read())
         simulate.run(spark, config, a.bam, a.fasta)
         return
-    source = Source(spark, path := files.staged(a.file))
+    folder = None if spark.sparkContext.master.startswith("local") else session.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    source = Source(spark, path := files.staged(a.file, folder))
     try:
         yield from _answer(spark, a, source)
     finally:
