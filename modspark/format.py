@@ -1,13 +1,17 @@
-"""Results as the text that commands print. Frames are streamed to the driver, partition by partition."""
+"""Results as the text that commands print. Frames are streamed to the driver, partition by partition, but for numbered lines, which stay where they are."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from modspark.functions.values import short_float
+from modspark.session import materialise, ship
 
 WINDOW_HEADER = "#contig ref_win_start ref_win_end read_id win_val strand base mod_strand mod_type win_start win_end basecall_qual".split()
 
@@ -25,6 +29,41 @@ def windows_tsv(table: DataFrame) -> Iterator[str]:
     yield from tsv(table.orderBy("rec_no", "track_no", "idx"), names, "\t".join(WINDOW_HEADER))
 
 
+def in_file_order(reads: DataFrame) -> DataFrame:
+    """Reads by rec_no, over the partitions and within each; what is made of them row by row keeps that order."""
+    spark = reads.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return reads.repartitionByRange(parts, "rec_no").sortWithinPartitions("rec_no")
+
+
+def _short_floats(values: pa.Array) -> pa.Array:
+    each = values.dictionary_encode()
+    texts = [str(x) if x is None else short_float(x) for x in each.dictionary.to_pylist()]
+    places = each.indices.fill_null(len(texts))
+    return pa.array([*texts, "None"], pa.string()).take(places)
+
+
+def windows_lines(table: DataFrame) -> DataFrame:
+    """The lines of windows_tsv() as rows (nth, line), the header being line 0.
+
+    table: windows of reads that in_file_order() has sorted. No line passes through the driver: each
+    partition numbers its own, and of each its number of lines is summed up.
+    """
+    spark = table.sparkSession
+    ship(spark)
+    value = F.arrow_udf(_short_floats, "string")
+    names = [c.lstrip("#") for c in WINDOW_HEADER]
+    own = materialise(table.select(*names).withColumn("win_val", value("win_val")).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)  # by definition of these ids: the partition, and 33 bits for the place in it
+    sizes = sorted(own.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    first = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "__part long, __before long")
+    nth = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in names))
+    rows = own.join(F.broadcast(first), part == F.col("__part")).select(nth.alias("nth"), line.alias("line"))
+    return spark.range(1).select(F.lit(0).cast("long").alias("nth"), F.lit("\t".join(WINDOW_HEADER)).alias("line")).unionByName(rows)
+
+
 def read_table_tsv(table: DataFrame, summary: str | None = None) -> Iterator[str]:
     """The read table under its comments; the order of reads is open."""
     head = [f"# seq summ file: {summary}"] if summary else []

@@ -26,6 +26,8 @@ from modspark.session import ship
 
 #: Probability from which a base counts as modified.
 LIKELY = 128
+#: The error chance of each byte of a text of qualities.
+CHANCE = 10.0 ** (-(np.arange(256) - 33) / 10)
 
 
 def density(qual: np.ndarray) -> np.float32:
@@ -62,68 +64,86 @@ def density_at_least(least: float) -> Callable[[np.ndarray], np.float32]:
 
 def window_values(qual: np.ndarray, win: int, step: int, function, abort: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """First calls of the windows and their values; windows on which the function fails are left out, unless that is to stop everything."""
-    first = np.arange(0, len(qual) - win + 1, step) if len(qual) >= win else np.zeros(0, np.int64)
+    first, _, values = _values_of_tracks(np.asarray(qual), np.array([0, len(qual)]), win, step, function, abort)
+    return first, values
+
+
+def _values_of_tracks(qual: np.ndarray, edges: np.ndarray, win: int, step: int, function, abort: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First calls of the windows of many tracks, counted over all of them, windows for each track, and values; track t is qual[edges[t]:edges[t + 1]]."""
+    counts = np.maximum((np.diff(edges) - win) // step + 1, 0)
+    if function is gradient and win == 1:
+        counts[:] = 0
+    track = np.repeat(np.arange(len(counts)), counts)
+    local = (np.arange(len(track)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+    first = edges[track] + local
     if function is density:
         total = np.concatenate(([0], np.cumsum(qual >= LIKELY)))
-        return first, ((total[first + win] - total[first]) / win).astype(np.float32)
+        return first, counts, ((total[first + win] - total[first]) / win).astype(np.float32)
     if function is gradient:
-        if win == 1:
-            return first[:0], np.zeros(0, np.float32)
         y = (qual >= LIKELY).astype(np.int64)
-        total, weighted = (np.concatenate(([0], np.cumsum(x))) for x in (y, y * np.arange(1, len(y) + 1)))
+        place = np.arange(1, len(y) + 1) - np.repeat(edges[:-1], np.diff(edges))
+        total, weighted = (np.concatenate(([0], np.cumsum(x))) for x in (y, y * place))
         n = total[first + win] - total[first]
-        slope = (weighted[first + win] - weighted[first] - first * n - n * (win + 1) / 2) / (win * (win * win - 1) / 12)
-        return first, slope.astype(np.float32)
+        slope = (weighted[first + win] - weighted[first] - local * n - n * (win + 1) / 2) / (win * (win * win - 1) / 12)
+        return first, counts, slope.astype(np.float32)
     kept, values = [], []
-    for i in first:
+    for k, i in enumerate(first):
         try:
             values.append(function(qual[i : i + win]))
-            kept.append(i)
+            kept.append(k)
         except ModsparkError:
             if abort:
                 raise
-    return np.array(kept, np.int64), np.array(values, np.float32)
+    kept = np.array(kept, np.int64)
+    return first[kept], np.bincount(track[kept], minlength=len(counts)), np.array(values, np.float32)
 
 
 def mean_quality(qual: str | None, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The mean error chance of bases [start, end) as a quality; 255 where the first one has none."""
-    if qual is None or not len(start):
-        return np.full(len(start), MISSING, np.int16)
-    q = np.frombuffer(qual.encode(), np.uint8).astype(np.int64) - 33
-    chance = np.append(10.0 ** (-q / 10), 0.0)
-    total = np.add.reduceat(chance, np.stack((start, end), 1).ravel())[::2]
-    return np.floor(-10 * np.log10(total / (end - start)) + 0.5).astype(np.int16)
+    """The mean error chance of bases [start, end) as a quality; 255 where there are none."""
+    return mean_qualities([qual], np.zeros(len(start), np.int64), start, end)
+
+
+def mean_qualities(quals: list[str | None], owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The mean error chance of bases [start, end) of the qualities numbered owner, as a quality; 255 where those are missing."""
+    texts = [b"" if q is None else q.encode() for q in quals]
+    at = np.cumsum([0, *map(len, texts)])[owner]
+    some = ~np.array([q is None for q in quals], bool)[owner]
+    out = np.full(len(start), MISSING, np.int16)
+    if some.any():
+        chance = np.append(CHANCE[np.frombuffer(b"".join(texts), np.uint8)], 0.0)
+        low, high = (at + start)[some], (at + end)[some]
+        total = np.add.reduceat(chance, np.stack((low, high), 1).ravel())[::2]
+        out[some] = np.floor(-10 * np.log10(total / (high - low)) + 0.5)
+    return out
 
 
 class _Found:
-    """Windows of many tracks as flat columns."""
+    """Windows of many tracks as flat columns, made for all tracks at once."""
 
     KINDS = (pa.int32(), pa.int32(), pa.float32(), pa.int16(), pa.int32(), pa.int32())
     NAMES = ("win_start", "win_end", "win_val", "basecall_qual", "ref_win_start", "ref_win_end")
 
     def __init__(self, windowing: Windowing, function, abort: bool) -> None:
         self.windowing, self.function, self.abort = windowing, function, abort
-        self.counts, self.parts = [], []
-
-    def add(self, pos: np.ndarray, ref: np.ndarray, prob: np.ndarray, qual: str | None) -> None:
-        """The windows of one track; ref: -1 where there is none, or rising."""
-        first, values = window_values(prob, self.windowing.win, self.windowing.step, self.function, self.abort)
-        self.counts.append(len(first))
-        if not len(first):
-            return
-        last = first + self.windowing.win - 1
+
+    def array(self, edges: np.ndarray, pos: np.ndarray, ref: np.ndarray, prob: np.ndarray, quals: list[str | None], owner: np.ndarray) -> pa.Array:
+        """A list of windows for each track.
+
+        Track t has the calls [edges[t], edges[t + 1]) of pos, ref (-1 where there is none, or rising) and prob, and the
+        qualities numbered owner[t].
+        """
+        win = self.windowing.win
+        first, counts, values = _values_of_tracks(prob, edges, win, self.windowing.step, self.function, self.abort)
+        last = first + win - 1
         start, end = pos[first], pos[last] + 1
         known = np.flatnonzero(ref >= 0)
         i, j = np.searchsorted(known, first), np.searchsorted(known, last, "right") - 1
         some = i <= j
         low, high = np.full(len(first), -1), np.full(len(first), -1)
         low[some], high[some] = ref[known[i[some]]], ref[known[j[some]]] + 1
-        self.parts.append((start, end, values, mean_quality(qual, start, end), low, high))
-
-    def array(self) -> pa.Array:
-        """A list of windows for each track that was added."""
-        columns = [pa.array(np.concatenate([np.zeros(0), *(p[k] for p in self.parts)]).astype(kind.to_pandas_dtype()), kind) for k, kind in enumerate(self.KINDS)]
-        return pa.ListArray.from_arrays(offsets(self.counts), pa.StructArray.from_arrays(columns, self.NAMES))
+        flat = (start, end, values, mean_qualities(quals, np.repeat(owner, counts), start, end), low, high)
+        columns = [pa.array(x.astype(kind.to_pandas_dtype()), kind) for x, kind in zip(flat, self.KINDS)]
+        return pa.ListArray.from_arrays(offsets(counts), pa.StructArray.from_arrays(columns, self.NAMES))
 
 
 _TRACK = ("base", "strand", "mod_code", "mod_cp")
@@ -145,11 +165,8 @@ def _windower(names: list[str], windowing: Windowing, function, abort: bool):
             flat = calls.flatten()
             pos, prob = (np.asarray(flat.field(k)).astype(np.int64) for k in ("pos", "qual"))
             ref = np.asarray(flat.field("ref_pos").fill_null(-1)).astype(np.int64)
-            found = _Found(windowing, function, abort)
-            for t in range(len(owner)):
-                one = slice(edges[t], edges[t + 1])
-                found.add(pos[one], ref[one], prob[one], quals[owner[t]])
-            track = pa.StructArray.from_arrays([*(tracks.field(k) for k in _TRACK), found.array()], [*_TRACK, "windows"])
+            found = _Found(windowing, function, abort).array(edges.astype(np.int64), pos, ref, prob, quals, owner)
+            track = pa.StructArray.from_arrays([*(tracks.field(k) for k in _TRACK), found], [*_TRACK, "windows"])
             out = pa.ListArray.from_arrays(offsets(np.diff(np.asarray(lists.offsets))), track)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), out], [*names, "windows"])
 
@@ -176,14 +193,15 @@ def _both(names: list[str], keep: list[int], mods: ModFilter, windowing: Windowi
         for batch in batches:
             rows, _ = decode_batch(batch, need, ml, mods, True, wanted, position)
             quals = batch.column(with_qual).to_pylist()
-            found, flat = _Found(windowing, function, abort), []
-            for qual, tracks in zip(quals, rows):
-                for t in tracks:
-                    found.add(t.pos, t.ref, t.qual, qual)
-                    flat.append((t.base, t.strand, t.code, code_point(t.code)))
-            names_of = [pa.array([x[k] for x in flat], pa.int32() if k == 3 else pa.string()) for k in range(4)]
-            track = pa.StructArray.from_arrays([*names_of, found.array()], [*_TRACK, "windows"])
-            out = pa.ListArray.from_arrays(offsets([len(r) for r in rows]), track)
+            flat, each = [t for r in rows for t in r], [len(r) for r in rows]
+            none = np.zeros(0, np.int64)
+            pos, ref, prob = (np.concatenate([none, *(getattr(t, k) for t in flat)]) for k in ("pos", "ref", "qual"))
+            edges = np.cumsum([0, *(len(t.pos) for t in flat)])
+            found = _Found(windowing, function, abort).array(edges, pos, ref, prob, quals, np.repeat(np.arange(len(rows)), each))
+            points = pa.array([code_point(t.code) for t in flat], pa.int32())
+            names_of = [pa.array([getattr(t, k) for t in flat], pa.string()) for k in ("base", "strand", "code")]
+            track = pa.StructArray.from_arrays([*names_of, points, found], [*_TRACK, "windows"])
+            out = pa.ListArray.from_arrays(offsets(each), track)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), out], [*(names[k] for k in keep), "windows"])
 
     return run

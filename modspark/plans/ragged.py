@@ -195,12 +195,7 @@ from t where k = 3 and idx % 2 = 0
 union all select 0, concat_ws(chr(9), '#contig', 'ref_win_start', 'ref_win_end', 'read_id', 'win_val', 'strand', 'base', 'mod_strand', 'mod_type', 'win_start', 'win_end', 'basecall_qual')""")
 def ragged_window_lines(spark, sf_dir):
     """The window table as text, in file order."""
-    path = _path(spark, "windows.txt")
-    table = windows.window_table(windows.decode_windows(reads(spark, sf_dir), None, Windowing(3, 2)))
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(f"{k} {x}\n" for k, x in enumerate(text.windows_tsv(table)))
-    at = F.instr("value", " ")
-    return spark.read.text(path).select(F.substring_index("value", " ", 1).cast("long").alias("nth"), F.substr("value", at + 1).alias("line"))
+    return text.windows_lines(windows.window_table(windows.decode_windows(text.in_file_order(reads(spark, sf_dir)), None, Windowing(3, 2))))
 
 
 @query(f"with {CALLS}, w as (select rec_no, read_id, max(qual) over f as top, count(*) over f as k from c where mod_code = 'm' window f as (partition by rec_no order by pos rows between current row and 1 following)) select distinct rec_no, read_id from w where k = 2 and top >= 230")
