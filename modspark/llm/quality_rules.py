@@ -1,12 +1,13 @@
 """Quality rules: base counts, and a log-likelihood ratio of hashed n-grams.
 
 Two multinomials over hashed 4-grams of bytes are counted: one over the trusted target
-(labelled good documents, at most `TARGET` of them, chosen by the hash of their ids), one
-over the whole raw corpus. A document's score is the sum over its n-grams of
+(all documents labelled good, however many), one over the whole raw corpus. A document's score is the sum over its n-grams of
 log p_target - log p_raw, divided by their number; it is kept if the score reaches a fixed
 threshold, so every document has one verdict that needs no draw.
 
-The tables have a fixed size (2**16 counts), which is all that is gathered or broadcast.
+The tables have a fixed size (2**16 counts), which is all that is gathered; broadcast are they and
+a bitmap of the target's ids (64 MB at most). Texts aren't shuffled, unless the ids lie too far apart
+for an exact bitmap: then those that a hashed one lets through meet the ids in a join of Spark's choice.
 
 Defined cases: a null or empty text has no words and fails the base rules; a text without
 n-grams scores 0; rows that repeat a doc_id are scored each by its own text; rows with a
@@ -25,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modspark.llm.members import exactly_marked, marked
 from modspark.llm.text import PIECE, SPACE, grams, hashes, mix, place_of, reduced, steps, utf8, words
-from modspark.session import ship
+from modspark.session import materialise, ship
 
-#: Most labelled documents that fit the target multinomial.
-TARGET = 20_000
 BITS = 16
 GRAM = 4
 #: Mean log-likelihood ratio per n-gram from which a document is kept.
@@ -140,20 +140,27 @@ def _score(names: list[str], text: str, ratio: np.ndarray, threshold: float):
     return run
 
 
-def trusted(labels: DataFrame, most: int = TARGET) -> DataFrame:
-    """Ids of the trusted target: labelled quality 1 and never 0, at most `most`, by the hash of the id."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """Ids of the trusted target: all that are labelled quality 1 and never 0."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select("doc_id")
 
 
 def fit(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text") -> np.ndarray:
     """log p_target - log p_raw for each bucket; counts of all of docs, one added to each.
 
-    target: ids, of which there are at most TARGET (a proven bound for its broadcast).
+    target: ids without repeats, as many as there are. Which texts are theirs a bitmap tells; where ids lie too far apart for
+    an exact one, those that a hashed one lets through are joined with the ids.
     """
     ship(docs.sparkSession)
-    marked = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text")).join(F.broadcast(target.select(F.col("doc_id").cast("long").alias("__id"), F.lit(True).alias("__good"))), "__id", "left")
-    rows = marked.select("__text", "__good").mapInArrow(_counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    ids = materialise(target.select(F.col("doc_id").cast("long").alias("__good")))
+    texts = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
+    known = exactly_marked(texts, "__id", ids, "__mark")
+    if known is None:
+        told = marked(texts, "__id", ids, "__mark")
+        may = told.where("__mark").join(ids, F.col("__id") == F.col("__good"), "left").select("__text", F.col("__good").isNotNull().alias("__mark"))
+        known = may.unionByName(told.where("not __mark").select("__text", "__mark"))
+    rows = known.select("__text", "__mark").mapInArrow(_counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     size = 1 << BITS
     raw, good = np.zeros(size), np.zeros(size)
     for b, r, g in rows:
